@@ -14,7 +14,7 @@ _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?"
 # A control character, a broken percent escape, or a blank in the authority
 # makes the whole string no URL.
 _NOT_A_URL = r"[\x00-\x1f\x7f]|%(?![0-9A-Fa-f]{2})|^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]* "
-_ORIGIN = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?"
+_ORIGIN = r"^[A-Za-z][A-Za-z0-9+.-]*+:(?://[^/?#]*+)?+"
 _DOT_SEGMENT = r"(^|/)\.\.?(/|$)"
 
 
