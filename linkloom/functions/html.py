@@ -45,6 +45,13 @@ def tokens(
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
 
 
+def complete(tokens: Column) -> Column:
+    """Tokens without a last start tag that the end of the page cuts off."""
+    last = F.try_element_at(tokens, F.lit(-1))
+    cut = last.rlike(r"\A<[A-Za-z]") & ~is_start_tag(last)
+    return F.when(cut, F.slice(tokens, F.lit(1), F.size(tokens) - 1)).otherwise(tokens)
+
+
 def is_start_tag(token: Column) -> Column:
     """True for tokens that open an element (and are not cut off by the end)."""
     return token.rlike(rf"(?i)\A{_START_TAG}")
@@ -54,6 +61,26 @@ def tag_name(token: Column) -> Column:
     return F.lower(F.regexp_extract(token, r"\A<([A-Za-z][^\t\n\f\r />]*)", 1))
 
 
+def attribute(token: Column, name: str) -> Column:
+    """One attribute of a start tag, NULL when absent, character references as
+    written. Plain string work, so it stays inside generated code."""
+    this = rf"{name}(?=[\t\n\f\r />=])"
+    found = F.regexp_extract(
+        token,
+        rf"(?i)\A<{_TAG_NAME}{_GAP}(?:(?!{this}){_ATTRIBUTE}{_GAP})*+({this}(?:{_WS}*+={_WS}*+(?:{_VALUE})?+)?+)",
+        1,
+    )
+    mark = F.instr(found, "=")
+    value = F.ltrim(F.substr(found, mark + 1), F.lit(" \t\n\f\r"))
+    quoted = value.startswith('"') | value.startswith("'")
+    return (
+        F.when(found == "", F.lit(None).cast("string"))
+        .when(mark == 0, F.lit(""))
+        .when(quoted, F.substr(value, F.lit(2), F.length(value) - 2))
+        .otherwise(value)
+    )
+
+
 def attributes(token: Column) -> Column:
     """Attribute map of a start tag: lower-case names, decoded values, the first
     of two equal names wins."""

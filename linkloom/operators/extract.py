@@ -15,8 +15,6 @@ from linkloom.functions.urls import Base, absolute_url, resolve, resolves, trim_
 from linkloom.operators import rules as R
 from linkloom.operators.filters import keyword_predicate
 
-_PAGE_TEXT_MARK = "\x01"
-
 
 def _page_text_urls(marked: Column, text_scope: str) -> Column:
     """URLs in the text of a page: of each text node, and of all nodes together."""
@@ -41,28 +39,54 @@ def _first_base_href(tokens: Column) -> Column:
     return F.get(F.array_compact(hrefs), F.lit(0))
 
 
-def _rule_links(rules: Sequence[R.LinkRule], e: R.Element) -> Column:
-    """All links of one element as an array of structs."""
+def _row(rule: R.LinkRule, e: R.Element, raw: Column) -> Column:
+    return F.struct(
+        rule.label_column(e).alias("source"),
+        raw.alias("raw"),
+        F.lit(rule.follow).alias("follow"),
+        F.lit(rule.inside).alias("inside"),
+    )
 
-    def row(rule: R.LinkRule, raw: Column) -> Column:
-        return F.struct(
-            rule.label_column(e).alias("source"),
-            raw.alias("raw"),
-            F.lit(rule.follow).alias("follow"),
-            F.lit(rule.inside).alias("inside"),
-        )
 
-    one = [F.when(r.when(e), row(r, r.value(e))) for r in rules if not r.many]
+def _element_links(rules: Sequence[R.LinkRule], e: R.Element) -> Column:
+    """Links of one element: an array with a NULL for every rule that gives none.
+
+    For rules with one link each there is no lambda in it, so Spark compiles it.
+    """
+    one = F.array(F.lit(None).cast(_LINK), *[F.when(r.when(e), _row(r, e, r.value(e))) for r in rules if not r.many])
+    many = [r for r in rules if r.many]
+    if not many:
+        return one
+
     def rows(rule: R.LinkRule) -> Column:
-        return F.when(rule.when(e), F.transform(rule.value(e), lambda raw: row(rule, raw)))
+        found = F.when(rule.when(e), F.transform(rule.value(e), lambda raw: _row(rule, e, raw)))
+        return F.coalesce(found, F.array().cast(f"array<{_LINK}>"))
+
+    return F.concat(one, *[rows(r) for r in many])
+
+
+def _script_links(rules: Sequence[R.LinkRule], tokens: Column) -> Column:
+    """Links in script bodies, as marked strings. Scripts are few, and those that
+    name a scheme fewer."""
+
+    def links_of(token: Column) -> Column:
+        e = R.Element(F.lit("script"), H.raw_body(token), H.attributes(token))
+        return F.concat(*[
+            F.transform(
+                F.coalesce(F.when(r.when(e), r.value(e)), F.array().cast("array<string>")),
+                lambda url: F.concat(F.lit(f"{_FOUND}{r.label}{_FOUND}"), url),
+            )
+            for r in rules
+        ])
 
-    many = [rows(r) for r in rules if r.many]
-    none = F.array().cast(_LINKS)
-    parts = [F.array_compact(F.array(*one)) if one else none] + [F.coalesce(m, none) for m in many]
-    return F.concat(*parts)
+    scripts = F.filter(tokens, lambda t: t.rlike(_SCRIPT) & t.contains("://"))
+    return F.flatten(F.transform(scripts, links_of))
 
 
-_LINKS = "array<struct<source:string,raw:string,follow:boolean,inside:boolean>>"
+_LINK = "struct<source:string,raw:string,follow:boolean,inside:boolean>"
+# Begins a link found on the page as a whole, among the tokens: mark, label, mark, URL.
+_FOUND = "\x01"
+_SCRIPT = r"(?i)\A<script[\t\n\f\r />]"
 
 
 def raw_links(
@@ -84,60 +108,87 @@ def raw_links(
     """
     html, token = F.col("html"), F.col("token")
     with_text = any(r.element_text for r in rules)
+    in_scripts = [r for r in rules if r.scripts_only]
     # every value that is used more than once is a column of its own stage
-    columns = [H.tokens(html, raw_tags, with_text).alias("tokens")]
+    columns = [H.complete(H.tokens(html, raw_tags, with_text)).alias("tokens")]
     if page_text:
         columns.append(H.marked_text(html, raw_tags).alias("marked"))
     staged = pages.select("url", *keep, "html", *columns)
-    items = F.col("tokens")
+    items = [F.col("tokens")]
+    if in_scripts:
+        items.append(_script_links(in_scripts, F.col("tokens")))
     if page_text:
-        found = F.transform(
-            _page_text_urls(F.col("marked"), text_scope), lambda u: F.concat(F.lit(_PAGE_TEXT_MARK), u)
-        )
-        items = F.concat(items, F.coalesce(found, F.array().cast("array<string>")))
+        prefix = F.lit(f"{_FOUND}{R.PAGE_TEXT}{_FOUND}")
+        items.append(F.transform(_page_text_urls(F.col("marked"), text_scope), lambda u: F.concat(prefix, u)))
+    none = F.array().cast("array<string>")
+    item = F.concat(*[F.coalesce(i, none) for i in items]).alias("items")
     if honor_base:
         named = F.when(html.rlike(r"(?i)<base[\t\n\f\r /]"), _first_base_href(F.col("tokens")))
-        staged = staged.select("url", *keep, items.alias("items"), named.alias("base_href"))
+        staged = staged.select("url", *keep, item, named.alias("base_href"))
         base_url = F.when(F.col("base_href").isNull(), F.col("url")).otherwise(
             absolute_url(F.col("base_href"), F.col("url"))
         )
         staged = staged.select("url", *keep, "items", F.coalesce(base_url, F.col("url")).alias("base_url"))
     else:
-        staged = staged.select("url", *keep, items.alias("items"), F.col("url").alias("base_url"))
+        staged = staged.select("url", *keep, item, F.col("url").alias("base_url"))
     per_token = (
         staged.select("url", *keep, "items", Base.of(F.col("base_url")).to_struct().alias("base"))
         .select("url", *keep, "base", F.explode_outer("items").alias("token"))
-        # closing and bare tags hold no links; this test is cheaper than parsing
+        # bare tags hold no links; this test is cheaper than parsing
         .where(token.rlike(_MAY_LINK))
     )
-    tag = H.tag_name(token)
-    text = H.element_text(token, tag, raw_tags) if with_text else F.when(tag.isin(*raw_tags), H.raw_body(token))
-    parsed = per_token.select(
-        "url", *keep, "base",
-        token,
-        tag.alias("tag"),
-        H.attributes(token).alias("attrs"),
-        text.alias("text"),
+    e = R.Element(F.col("tag"), F.coalesce(F.col("text"), F.lit("")))
+    links = _element_links([r for r in rules if not r.scripts_only], e)
+    on_page = F.when(
+        token.startswith(_FOUND),
+        let(
+            F.split(token, _FOUND, 3),
+            lambda p: F.array(
+                F.struct(
+                    p[1].alias("source"), p[2].alias("raw"), F.lit(False).alias("follow"), F.lit(False).alias("inside")
+                )
+            ),
+        ),
     )
-    e = R.Element(F.col("tag"), F.col("attrs"), F.coalesce(F.col("text"), F.lit("")))
-    links = _rule_links(rules, e)
-    if page_text:
-        page_link = F.array(
-            F.struct(
-                F.lit(R.PAGE_TEXT).alias("source"),
-                F.substr(token, F.lit(2)).alias("raw"),
-                F.lit(False).alias("follow"),
-                F.lit(False).alias("inside"),
-            )
-        )
-        links = F.when(token.startswith(_PAGE_TEXT_MARK), page_link).otherwise(links)
-    return parsed.select(F.col("url").alias("where_url"), *keep, "base", F.inline_outer(links)).where(
-        F.col("raw").isNotNull()
+    links = F.coalesce(on_page, links).alias("links")
+    parsed = _parsed(per_token, e, rules, raw_tags, with_text, ["url", *keep, "base", "token"])
+    # The rules are a column of their own, not an argument of the generator. With
+    # the lambda above in it, Spark compiles that projection into many small
+    # methods; as part of one whole-stage method, some dozen rules pass the size
+    # up to which the JVM compiles to machine code, and run many times slower.
+    return (
+        parsed.select(F.col("url").alias("where_url"), *keep, "base", links)
+        .select("where_url", *keep, "base", F.inline_outer("links"))
+        .where(F.col("raw").isNotNull())
+    )
+
+
+def _parsed(
+    per_token: DataFrame, e: R.Element, rules: Sequence[R.LinkRule], raw_tags: tuple[str, ...], with_text: bool,
+    kept: list[str],
+) -> DataFrame:
+    """Tokens with the tag, the text, and the attributes the rules ask for.
+
+    An attribute is cut out by one compiled expression. Only tags with a
+    character reference in them go the longer way through the whole map. The map
+    stands next to the others on purpose: see the end of ``raw_links``.
+    """
+    token, tag = F.col("token"), H.tag_name(F.col("token"))
+    text = H.element_text(token, tag, raw_tags) if with_text else F.lit(None).cast("string")
+    scoped = all(id(r) in R.BUILT_IN for r in rules)
+    referring = F.lit(True) if e.asked_all else token.contains("&")
+    columns = []
+    for name in e.asked:
+        tags = R.ATTRIBUTE_TAGS.get(name) if scoped else None
+        value = H.attribute(token, name)
+        columns.append((F.when(tag.isin(*tags), value) if tags else value).alias(e.column(name)))
+    return per_token.select(
+        *kept, tag.alias("tag"), text.alias("text"), F.when(referring, H.attributes(token)).alias("attrs"), *columns
     )
 
 
 _MAY_LINK = (
-    rf"\A(?:{_PAGE_TEXT_MARK}|<[A-Za-z][^\t\n\f\r />]*+[\t\n\f\r /]++[^\t\n\f\r />]|<[sS][cC][rR][iI][pP][tT]>)"
+    rf"\A(?:{_FOUND}|<[A-Za-z][^\t\n\f\r />]*+[\t\n\f\r /]++[^\t\n\f\r />])"
 )
 
 

@@ -7,7 +7,7 @@ per element, so a page is scanned once however many rules there are.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,26 +16,49 @@ from linkloom import fixed
 from linkloom.functions.text import urls_in_text
 
 
-@dataclass(frozen=True)
 class Element:
-    """Columns of one element, as rules see them."""
+    """Columns of one element, as rules see them.
+
+    The element notes which attributes are asked for, so that only those are
+    parsed.
+    """
 
-    tag: Column
-    attrs: Column
-    text: Column
-    _made: dict[str, Column] = field(default_factory=dict, compare=False, repr=False)
+    def __init__(self, tag: Column, text: Column, attrs: Column | None = None):
+        self.tag = tag
+        self.text = text
+        self._attrs = attrs
+        self.asked: dict[str, Column] = {}
+        self.asked_all = False
+
+    @property
+    def attrs(self) -> Column:
+        """All attributes, as a map."""
+        self.asked_all = True
+        return F.col("attrs") if self._attrs is None else self._attrs
 
     def is_(self, *names: str) -> Column:
         return self.tag == names[0] if len(names) == 1 else self.tag.isin(*names)
 
+    def value(self, name: str) -> Column:
+        """Attribute value, NULL when absent."""
+        if name not in self.asked:
+            if self._attrs is None:
+                mapped = F.col("attrs")
+                self.asked[name] = F.when(mapped.isNotNull(), mapped[name]).otherwise(F.col(self.column(name)))
+            else:
+                self.asked[name] = self._attrs[name]
+        return self.asked[name]
+
+    @staticmethod
+    def column(name: str) -> str:
+        return f"attr_{name}"
+
     def attr(self, name: str) -> Column:
         """Attribute value, empty when absent."""
-        if name not in self._made:
-            self._made[name] = F.coalesce(self.attrs[name], F.lit(""))
-        return self._made[name]
+        return F.coalesce(self.value(name), F.lit(""))
 
     def has(self, name: str) -> Column:
-        return self.attrs[name].isNotNull()
+        return self.value(name).isNotNull()
 
     def has_prefix(self, prefix: str) -> Column:
         return F.exists(F.map_keys(self.attrs), lambda n: n.startswith(prefix))
@@ -48,7 +71,8 @@ class LinkRule:
     ``value`` may be an array, then each item is a link. ``follow`` marks the
     links a crawl walks along; ``inside`` those the inside-path option restricts.
     ``element_text`` says that the text of elements other than raw-text ones is
-    needed.
+    needed; ``scripts_only`` that the rule is about the bodies of scripts, which
+    are then searched once per page.
     """
 
     label: str | Callable[[Element], Column]
@@ -58,6 +82,7 @@ class LinkRule:
     follow: bool = False
     inside: bool = False
     element_text: bool = False
+    scripts_only: bool = False
 
     def label_column(self, e: Element) -> Column:
         return F.lit(self.label) if isinstance(self.label, str) else self.label(e)
@@ -93,7 +118,9 @@ def _webp(e: Element) -> Column:
 ANCHOR = LinkRule("href", lambda e: e.is_("a") & e.has("href"), lambda e: e.attr("href"), follow=True, inside=True)
 SCRIPT = LinkRule("script", lambda e: e.is_("script") & e.has("src"), lambda e: e.attr("src"))
 FORM = LinkRule("form", lambda e: e.is_("form") & e.has("action"), lambda e: e.attr("action"))
-JSCODE = LinkRule("jscode", lambda e: e.is_("script"), lambda e: urls_in_text(e.text), many=True)
+JSCODE = LinkRule(
+    "jscode", lambda e: e.is_("script"), lambda e: urls_in_text(e.text), many=True, scripts_only=True
+)
 CSS = LinkRule("css", lambda e: e.is_("link") & (e.attr("rel") == "stylesheet"), lambda e: e.attr("href"))
 EMBEDDED = LinkRule("embedded", lambda e: e.attr("src") != "", lambda e: e.attr("src"))
 INTERACTIVE = LinkRule(
@@ -203,7 +230,13 @@ EXCLUSIVE = (
         _exclusive_value,
         inside=True,
     ),
-    LinkRule("jscode", lambda e: e.is_("script") & (e.attr("src") == ""), lambda e: urls_in_text(e.text), many=True),
+    LinkRule(
+        "jscode",
+        lambda e: e.is_("script") & (e.attr("src") == ""),
+        lambda e: urls_in_text(e.text),
+        many=True,
+        scripts_only=True,
+    ),
 )
 
 
@@ -313,6 +346,15 @@ PLAIN_THIRD_PARTY = LinkRule(
 )
 PLAIN = (PLAIN_HREF, PLAIN_SCRIPT, PLAIN_STYLE, PLAIN_THIRD_PARTY)
 
+# Attributes that the rules of this module read on these tags only. The others
+# are parsed on every tag.
+ATTRIBUTE_TAGS = {
+    "action": ("form",), "content": ("meta",), "property": ("meta",), "name": ("meta",),
+    "background": ("body",), "archive": ("applet",), "frameborder": ("frameset",),
+    "rel": ("link",), "type": ("link",),
+}
+BUILT_IN = frozenset(id(r) for r in (*FULL, DATA, CUSTOM_DATA, *EXCLUSIVE, *PLAIN))
+
 PROFILES: dict[str, tuple[LinkRule, ...]] = {
     "core": CORE,
     "full": FULL,

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.sources.readers import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,12 +68,15 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("{back}", shop_url(k - 4)), ("{cross}", shop_url(k * 2)),
     ):
         html = F.replace(html, F.lit(mark), value)
-    return table(spark, sf_dir, "part").select(shop_url(k).alias("url"), html.alias("html"))
+    # the keys are spread, not the pages made from them
+    keys = spread(table(spark, sf_dir, "part").select("p_partkey"))
+    return keys.select(shop_url(k).alias("url"), html.alias("html"))
 
 
 def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(url, html)``: the pages table and the shop pages."""
-    return table(spark, sf_dir, "pages").select("url", "html").unionByName(shop_pages(spark, sf_dir))
+    pages = spread(table(spark, sf_dir, "pages").select("url", "html"))
+    return pages.unionByName(shop_pages(spark, sf_dir))
 
 
 def based_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,9 +53,18 @@ def keyword_literals(keywords: DataFrame, limit: int) -> list[str] | None:
     return [r[0] for r in rows] if len(rows) <= limit else None
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a table that comes in far fewer splits than there are cores, as
+    one unsplittable file does. A table large enough to fill the cluster is left
+    alone: it needs no shuffle. For scans; a plan with a shuffle in it would be
+    run to find out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Captured pages; other columns than ``url`` and ``html`` are kept."""
-    return spark.read.parquet(path)
+    return spread(spark.read.parquet(path))
 
 
 def parse_hosts(lines: DataFrame) -> DataFrame:
