@@ -110,10 +110,10 @@ def raw_links(
     with_text = any(r.element_text for r in rules)
     in_scripts = [r for r in rules if r.scripts_only]
     # every value that is used more than once is a column of its own stage
-    columns = [H.complete(H.tokens(html, raw_tags, with_text)).alias("tokens")]
+    columns = [H.tokens(html, raw_tags, with_text).alias("tokens")]
     if page_text:
         columns.append(H.marked_text(html, raw_tags).alias("marked"))
-    staged = pages.select("url", *keep, "html", *columns)
+    staged = pages.select("url", *keep, "html", *columns).withColumn("tokens", H.complete(F.col("tokens")))
     items = [F.col("tokens")]
     if in_scripts:
         items.append(_script_links(in_scripts, F.col("tokens")))

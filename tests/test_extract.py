@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom import fixed
+from linkloom.functions import html as H
 from linkloom.operators import rules as R
 from linkloom.operators.elements import html_elements
 from linkloom.operators.extract import extract_links, link_label, links_by_rules, plain_links
@@ -56,6 +57,19 @@ def test_elements_against_standard_parser(spark):
         assert [(r["tag"], r["attrs"]) for r in rows if r["url"] == f"http://h/{i}"] == parser.found, source
 
 
+def test_single_attributes_agree_with_the_map(spark):
+    names = ["href", "title", "x", "y", "alt", "src", "q", "slash", "data-x", "hre"]
+    token = F.col("token")
+    df = pages(spark, *ADVERSARIAL).select(F.explode_outer(H.tokens(F.col("html"))).alias("token"))
+    df = df.where(H.is_start_tag(token) & ~token.contains("&"))
+    pairs = [(H.attribute(token, n), H.attributes(token)[n]) for n in names]
+    same = [F.coalesce(one.eqNullSafe(other), F.lit(False)) for one, other in pairs]
+    rows = df.select(token, *[s.alias(n) for s, n in zip(same, names)]).collect()
+    assert len(rows) > 15
+    for row in rows:
+        assert all(row[n] for n in names), row
+
+
 def test_abruptly_closed_comments(spark):
     """By the standard ``<!-->`` and ``<!--->`` are whole comments, and ``--!>``
     closes one; the library parser above goes by older rules."""
