@@ -134,8 +134,8 @@ def raw_links(
     per_token = (
         staged.select("url", *keep, "items", Base.of(F.col("base_url")).to_struct().alias("base"))
         .select("url", *keep, "base", F.explode_outer("items").alias("token"))
-        # bare tags hold no links; this test is cheaper than parsing
-        .where(token.rlike(_MAY_LINK))
+        # for most rules bare tags hold no links, and this test is cheaper than parsing
+        .where(token.rlike(_MAY_LINK if all(id(r) in R.BUILT_IN for r in rules) else _ANY_TAG))
     )
     e = R.Element(F.col("tag"), F.coalesce(F.col("text"), F.lit("")))
     links = _element_links([r for r in rules if not r.scripts_only], e)
@@ -187,9 +187,10 @@ def _parsed(
     )
 
 
-_MAY_LINK = (
-    rf"\A(?:{_FOUND}|<[A-Za-z][^\t\n\f\r />]*+[\t\n\f\r /]++[^\t\n\f\r />])"
-)
+# A link found on the page, or a tag that has an attribute.
+_MAY_LINK = rf"\A(?:{_FOUND}|<[A-Za-z][^\t\n\f\r />]*+[\t\n\f\r /]++[^\t\n\f\r />])"
+# The same with tags that have none.
+_ANY_TAG = rf"\A(?:{_FOUND}|<[A-Za-z])"
 
 
 def extract_links(

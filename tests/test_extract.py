@@ -131,6 +131,13 @@ def test_exclusive_and_grouped(spark):
     assert {("form", "http://h/0"), ("script", "http://h/z"), ("video", "http://h/v"), ("websocket", "ws://s")} <= grouped
 
 
+def test_rules_on_bare_tags(spark):
+    df = pages(spark, "<script>1</script><b>/bold</b>")
+    assert links(extract_links(df, "grouped")) >= {("href", "http://h/0"), ("script", "http://h/0")}
+    bold = R.LinkRule("bold", lambda e: e.is_("b"), lambda e: e.text, element_text=True)
+    assert ("bold", "http://h/bold") in links(extract_links(df, "core", rules=[bold]))
+
+
 def test_own_rules_options_and_kept_columns(spark):
     df = pages(spark, "<a data-go='/x' href=/y></a><meta content='no url'><meta content='/m'>").withColumn("day", F.lit(7))
     rule = R.LinkRule("go", lambda e: e.has("data-go"), lambda e: e.attr("data-go"))
