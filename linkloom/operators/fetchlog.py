@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkloom import fixed
 from linkloom.functions.urls import is_absolute_url
+from linkloom.operators.skew import salted_join
 
 
 def _alive(status: Column) -> Column:
@@ -79,11 +80,11 @@ def within_budget(results: DataFrame, seconds: int, seed: str = "seed", ts: str
     """Rows a seed produced within ``seconds`` of its first; -1 is no limit.
 
     The start of each seed is a map-side reduced aggregate joined back on the
-    seed, so a seed with a third of all rows is split by the skew join instead
-    of being one window partition.
+    seed, so a seed with a third of all rows is split over tasks instead of being
+    one window partition.
     """
     if seconds < 0:
         return results
     starts = results.groupBy(seed).agg(F.min(ts).alias("_start"))
     in_time = F.col(ts) <= F.col("_start") + F.make_dt_interval(secs=F.lit(seconds))
-    return results.join(starts, seed).where(in_time).drop("_start")
+    return salted_join(results, starts, seed).where(in_time).drop("_start")

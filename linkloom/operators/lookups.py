@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.operators.skew import salted_join
+
 _LADDER = (1, 2, 4, 8, 16, 32)
 
 
@@ -86,7 +88,7 @@ def keyword_semi_join(links: DataFrame, keywords: DataFrame, column: str = "raw"
     if keywords.isEmpty():
         return links
     matched = keyword_matches(links.select(column).distinct(), keywords, column, keyword)
-    return links.join(matched.select(column).distinct(), column, "left_semi")
+    return salted_join(links, matched.select(column).distinct(), column, "left_semi")
 
 
 def scope_host_list(links: DataFrame, hosts: DataFrame, column: str = "url", host: str = "host") -> DataFrame:
@@ -110,7 +112,7 @@ def scope_host_list(links: DataFrame, hosts: DataFrame, column: str = "url", hos
         lambda text: F.contains(text, F.concat(F.lit("."), F.col(host)))
         | F.contains(text, F.concat(F.lit("//"), F.col(host))),
     )
-    return links.join(matched.select(column).distinct(), column, "left_semi")
+    return salted_join(links, matched.select(column).distinct(), column, "left_semi")
 
 
 def unprocessed_seeds(seeds: DataFrame, history: DataFrame) -> DataFrame:

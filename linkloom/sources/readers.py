@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.urls import domain_of_host, host_of, is_absolute_url
+from linkloom.operators.skew import salted_join
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 HISTORY_SCHEMA = "url string, source string, ts timestamp"
@@ -100,7 +101,7 @@ def parse_hosts(lines: DataFrame) -> DataFrame:
         .select("host").distinct()
         .withColumn("_together", F.lit(True))
     )
-    return lines.join(together, "host", "left").select(
+    return salted_join(lines, together, "host", "left").select(
         "host",
         domain_of_host(host).alias("domain2"),
         (host.rlike(_HOST) & F.col("_together").isNull()).alias("well_formed"),

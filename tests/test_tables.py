@@ -178,6 +178,29 @@ def test_seed_status_and_budget(spark):
     assert L.within_budget(results, -1).count() == 11
 
 
+def test_hot_seed_is_split(spark):
+    """A third of the rows under one seed: the join has several partitions of it."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in zip(names, ("-1", "false")):
+        spark.conf.set(n, v)
+    try:
+        at = F.col("id")
+        seed = F.when(at % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (at % 500).cast("string")))
+        rows = spark.range(30_000).select(seed.alias("seed"), F.timestamp_seconds(at).alias("ts"), at)
+        kept = L.within_budget(rows, 10_000)
+        got = kept.groupBy("seed").count().collect()
+        tasks = kept.where("seed = 'hot'").select(F.spark_partition_id()).distinct().count()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    first = {}
+    for i in range(30_000):
+        first.setdefault("hot" if i % 3 == 0 else f"s{i % 500}", []).append(i)
+    assert {r["seed"]: r["count"] for r in got} == {s: sum(i <= v[0] + 10_000 for i in v) for s, v in first.items()}
+    assert tasks > 2
+
+
 def test_hosts(spark, tmp_path):
     path = tmp_path / "hosts.txt"
     path.write_text("a.com\nb_c.d.net\nsingle\nx.a.coma.com\nxa.com\nn.x.coma.com.\n")
