@@ -45,7 +45,7 @@ END_ID = 2
 BLOCK_IDS = 1 << 16
 STRIDE = 1 << 10
 #: Parts of texts a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Fields of a word and bits of a field for the selectors 2 to 15; 0 and 1 are 240 and 120 zeros.
 FIELDS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)

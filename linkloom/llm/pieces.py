@@ -15,18 +15,16 @@ class Remembered:
     def __init__(self, compute: Callable[[list[str]], Iterable], most: int):
         self.compute, self.most = compute, most
         self.values: dict = {}
+        self.extra: list[str] = []
 
     def group(self, pieces: list[str]) -> dict:
-        """Values of these pieces (and of others)."""
+        """A map with the values of these pieces (and of others), good until the next call."""
+        for piece in self.extra:
+            del self.values[piece]
         new = list(set(pieces).difference(self.values))
-        if not new:
-            return self.values
-        found = zip(new, self.compute(new), strict=True)
-        if len(self.values) < self.most:
-            self.values.update(found)
-            return self.values
-        extra = dict(found)
-        return {p: extra[p] if p in extra else self.values[p] for p in set(pieces)}
+        self.values.update(zip(new, self.compute(new), strict=True))
+        self.extra = new if len(self.values) > self.most else []
+        return self.values
 
 
 _kept: dict = {}

@@ -44,7 +44,7 @@ from linkloom.llm.pieces import Remembered, once
 
 LIMIT = 4096
 #: Parts of texts a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 BLANK = "▁"
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 _PARTS = re.compile(f"{BLANK}+[^{BLANK}]*")
