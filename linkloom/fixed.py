@@ -62,5 +62,4 @@ WAIT_OTHER_STATUS = 5
 DEFAULT_DEPTH = 2
 DEFAULT_ATTEMPTS = 4
 BLOOM_CAPACITY = 1_000_000
-BLOOM_CAPACITY_LARGE = 100_000_000
 BLOOM_ERROR_RATE = 0.01

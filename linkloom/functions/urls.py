@@ -104,6 +104,18 @@ def _drop_dot_segments(path: Column) -> Column:
     return F.when(path.rlike(_DOT_SEGMENT), let(F.split(path, "/"), fold)).otherwise(path)
 
 
+def fetch_key(url: Column) -> Column:
+    """What tells pages apart when they are fetched: no fragment, scheme and host in
+    lower case, no default port, ``/`` for an empty path, dot segments removed."""
+    bare = F.regexp_extract(url, r"^[^#]*", 0)
+    authority = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", 0))
+    authority = F.regexp_replace(F.regexp_replace(authority, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+    rest = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*((?s:.*))$", 1)
+    path, query = F.regexp_extract(rest, r"^[^?]*", 0), F.regexp_extract(rest, r"\?(?s:.*)", 0)
+    path = F.when(path == "", F.lit("/")).otherwise(_drop_dot_segments(path))
+    return F.when(authority == "", bare).otherwise(F.concat(authority, path, query))
+
+
 def percent_encode(url: Column) -> Column:
     """Percent-encode blanks and everything outside ASCII."""
     pieces = F.regexp_extract_all(url, F.lit(r"[^\x00-\x7f]++| |[\x00-\x1f\x21-\x7f]++"), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom import fixed
-from linkloom.functions.urls import host_of
+from linkloom.functions.urls import fetch_key, host_of
 from linkloom.operators import history as hist
 from linkloom.operators.extract import extract_links
 from linkloom.operators.filters import in_scope_host, in_scope_subdomains, inside_path, keyword_predicate
@@ -60,21 +60,29 @@ def crawl(
             pages.select("url", "html"), profile, lineage=True, honor_base=options.pop("honor_base", True), **options
         )
     )
-    edges = lined.where("follow").select("where_url", "url").distinct()
+    edges = lined.where("follow").select("where_url", "url").distinct().withColumn("key", fetch_key(F.col("url")))
     if not subdomains and not extra_hosts:
         # a walk stays on one host, so edges between hosts can go before any join
-        edges = edges.where(host_of(F.col("url")) == host_of(F.col("where_url")))
-    captured = pages.select("url").distinct()
+        edges = edges.where(host_of(F.col("key")) == host_of(fetch_key(F.col("where_url"))))
+    # links and pages meet on what a fetch would ask for, so a fragment, dot segments
+    # or a bare host do not hide a page; of captures of one page the first counts
+    captured = cut_lineage(
+        pages.select("url").groupBy(fetch_key(F.col("url")).alias("key")).agg(F.min("url").alias("page"))
+    )
     # only pages that were captured can be walked to; once here, not per level
-    edges = cut_lineage(edges.join(captured, "url", "left_semi").select("where_url", "url"))
+    edges = cut_lineage(
+        edges.join(captured, "key")
+        .select("where_url", F.col("page").alias("url"))
+        .distinct()
+    )
 
     level = cut_lineage(
         seeds.select("seed").distinct()
         .withColumn("seed_host", host_of(F.col("seed")))
         .where(F.col("seed_host").isNotNull())
-        .withColumn("url", F.col("seed"))
-        .join(captured, "url", "left_semi")
-        .select("seed", "seed_host", "url", F.lit(1).alias("depth"))
+        .withColumn("key", fetch_key(F.col("seed")))
+        .join(captured, "key")
+        .select("seed", "seed_host", F.col("page").alias("url"), F.lit(1).alias("depth"))
     )
     visited = level
     for step in range(2, depth + 1):

@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.urls import host_of, is_textual
 
-# Above this many keywords one pass over literals per row costs more than the
-# join in ``lookups.keyword_matches``, which has no limit.
-MAX_LITERAL_KEYWORDS = 200
+# Up to this many keywords the tests are compiled into the plan one by one; a
+# longer list is one array literal, with the same result.
+COMPILED_KEYWORDS = 200
 
 
 def keyword_predicate(text: Column, keywords: Sequence[str]) -> Column:
     """Case-sensitive: ``text`` contains any keyword. No keywords keep everything,
-    and so does an empty keyword."""
+    and so does an empty keyword. For a list in a table, of any size, there is
+    ``lookups.keyword_semi_join``."""
     if not keywords or "" in keywords:
         return text.isNotNull()
-    if len(keywords) > MAX_LITERAL_KEYWORDS:
-        raise ValueError(
-            f"{len(keywords)} keywords: use lookups.keyword_semi_join, which takes a table of any size"
-        )
+    if len(keywords) > COMPILED_KEYWORDS:
+        listed = F.lit(list(dict.fromkeys(keywords)))
+        return F.exists(listed, lambda k: F.contains(text, k))
     return _any([text.contains(k) for k in dict.fromkeys(keywords)])
 
 

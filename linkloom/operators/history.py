@@ -21,7 +21,7 @@ def new_entries(seeds: DataFrame, ts: Column | None = None) -> DataFrame:
 
 def missing_entries(history: DataFrame, new: DataFrame) -> DataFrame:
     """The rows of ``new`` that an insert-or-ignore would add."""
-    first = new.groupBy("url").agg(F.min_by(F.struct("source", "ts"), F.col("ts")).alias("_row"))
+    first = new.groupBy("url").agg(F.min(F.struct("ts", "source")).alias("_row"))
     return (
         first.join(history.select("url").distinct(), "url", "left_anti")
         .select("url", "_row.source", "_row.ts")

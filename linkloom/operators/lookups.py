@@ -1,68 +1,44 @@
 """Lookups against tables of any size: processed seeds, keywords, host lists.
 
 Finding which of many strings occur in a text is written as an equi-join, not as
-a nested loop. Every needle is keyed by a prefix of itself, cut to a length from
-a short fixed ladder; every text gives its substrings of those lengths. A needle
-that occurs in a text is found under its key exactly once, and the candidate is
-then checked in full, so the result is exact. Spark broadcasts the needles when
+a nested loop. Every text gives its substrings of exactly the lengths that needles
+have, and those are joined with the needles themselves, so a candidate meets one
+needle at most and what joins is a match. Spark broadcasts the needles when
 they are small enough by its own size check and shuffles otherwise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.skew import salted_join
 
-_LADDER = (1, 2, 4, 8, 16, 32)
 
+def _keyed(needles: DataFrame, column: str) -> tuple[DataFrame, list[int]]:
+    """Distinct needles as keys, and their lengths."""
+    keyed = needles.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_key", F.col(column))
+    lengths = sorted(r[0] for r in keyed.select(F.length(column)).distinct().collect())
+    return keyed, lengths
 
-def _key_length(needle: Column) -> Column:
-    length = F.lit(0)
-    for step in _LADDER:
-        length = F.when(F.length(needle) >= step, step).otherwise(length)
-    return length
 
+def _windows(text: Column, starts: Column, lengths: list[int]) -> Column:
+    """The substrings of ``text`` of the given lengths from the given starts on, each once."""
+    size = F.length(text)
 
-def _keyed(needles: DataFrame, column: str) -> tuple[DataFrame, list[int]]:
-    """Distinct needles with their keys, and the key lengths in use (at most seven)."""
-    keyed = (
-        needles.select(column)
-        .where(F.col(column).isNotNull())
-        .distinct()
-        .select(column, _key_length(F.col(column)).alias("_length"))
-        .withColumn("_key", F.substring(F.col(column), F.lit(1), F.col("_length")))
-    )
-    lengths = sorted(r[0] for r in keyed.select("_length").distinct().collect())
-    return keyed.select(column, "_key"), lengths
+    def of_length(n: Column) -> Column:
+        fitting = F.filter(starts, lambda at: at + n <= size + 1)
+        return F.transform(fitting, lambda at: F.substring(text, at, n))
 
+    return F.array_distinct(F.flatten(F.transform(F.lit(lengths), of_length)))
 
-def _prefixes(rest: Column, lengths: list[int]) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(F.length(rest) >= n, F.substring(rest, 1, n)) for n in lengths])
-    )
 
+def _places(text: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
 
-def _substrings(text: Column, lengths: list[int]) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    longest = max(lengths)
-    return F.array_distinct(
-        F.flatten(F.transform(starts, lambda at: _prefixes(F.substring(text, at, F.lit(longest)), lengths)))
-    )
 
-
-def _match(
-    texts: DataFrame, text: str, keyed: DataFrame, candidates: Column, check: Callable[[Column], Column]
-) -> DataFrame:
-    return (
-        texts.withColumn("_key", F.explode_outer(candidates))
-        .join(keyed, "_key")
-        .where(check(F.col(text)))
-        .drop("_key")
-    )
+def _match(texts: DataFrame, keyed: DataFrame, candidates: Column) -> DataFrame:
+    return texts.withColumn("_key", F.explode_outer(candidates)).join(keyed, "_key").drop("_key")
 
 
 def keyword_matches(links: DataFrame, keywords: DataFrame, column: str = "raw", keyword: str = "keyword") -> DataFrame:
@@ -75,10 +51,7 @@ def keyword_matches(links: DataFrame, keywords: DataFrame, column: str = "raw",
     everywhere = links.where(F.col(column).isNotNull()).withColumn(keyword, F.lit(""))
     if not filled:
         return everywhere if lengths else everywhere.where(F.lit(False))
-    found = _match(
-        links, column, keyed.where(F.col("_key") != ""), _substrings(F.col(column), filled),
-        lambda text: F.contains(text, F.col(keyword)),
-    )
+    found = _match(links, keyed.where(F.col("_key") != ""), _windows(F.col(column), _places(F.col(column)), filled))
     return found.unionByName(everywhere) if 0 in lengths else found
 
 
@@ -99,19 +72,11 @@ def scope_host_list(links: DataFrame, hosts: DataFrame, column: str = "url", hos
         return links.where(F.lit(False))
     url = F.col(column)
     starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.length(url), F.lit(1))),
+        _places(url),
         lambda at: (F.substring(url, at - 1, F.lit(1)) == ".") & (at > 1)
         | (F.substring(url, at - 2, F.lit(2)) == "//") & (at > 2),
     )
-    longest = max(lengths)
-    candidates = F.array_distinct(
-        F.flatten(F.transform(starts, lambda at: _prefixes(F.substring(url, at, F.lit(longest)), lengths)))
-    )
-    matched = _match(
-        links.select(column).distinct(), column, keyed, candidates,
-        lambda text: F.contains(text, F.concat(F.lit("."), F.col(host)))
-        | F.contains(text, F.concat(F.lit("//"), F.col(host))),
-    )
+    matched = _match(links.select(column).distinct(), keyed, _windows(url, starts, lengths))
     return salted_join(links, matched.select(column).distinct(), column, "left_semi")
 
 

@@ -18,7 +18,8 @@ def salted_join(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner"
     then, and not where one side comes straight out of an aggregate on the key.
     """
     hashed = [f.name for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    salt = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
+    # with the number of the task, so that equal rows of different tasks part too
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashed), F.lit(salts)).cast("int")
     parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     salted = rows.withColumn("_salt", salt)
     return salted.join(unique.withColumn("_salt", parts), [key, "_salt"], how).drop("_salt")

@@ -36,7 +36,7 @@ LABELS = {
 }
 KEYWORDS = ["api", ".json", "sub/", "https://cdn.example.net"]
 LINE_KEYWORDS = ["css", "[form]", "p/1"]
-BLOOM = D.BloomSpec(capacity=1000, error_rate=0.01)
+BLOOM = D.BloomSpec()
 START = "1995-01-01 00:00:00"
 BUDGET_SECONDS = 86400
 
@@ -351,7 +351,7 @@ def within_budget(spark, sf_dir):
 
 def _stream_source(spark, df: DataFrame) -> str:
     path = scratch_path(spark, "arrivals")
-    df.repartition(4).write.parquet(path)
+    df.write.parquet(path)
     return path
 
 

@@ -47,13 +47,6 @@ def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path, "keyword")
 
 
-def keyword_literals(keywords: DataFrame, limit: int) -> list[str] | None:
-    """The keywords as a list, or None if there are more than ``limit``: then
-    use the join, which takes any number."""
-    rows = keywords.distinct().limit(limit + 1).collect()
-    return [r[0] for r in rows] if len(rows) <= limit else None
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Even out a table that comes in far fewer splits than there are cores, as
     one unsplittable file does. A table large enough to fill the cluster is left

@@ -13,6 +13,7 @@ from linkloom.operators import fetchlog as L
 from linkloom.operators import filters as FL
 from linkloom.operators import history as H
 from linkloom.operators import lookups as K
+from linkloom.operators.skew import salted_join
 from linkloom.sources import readers, sinks
 
 NOW = dt.datetime(2024, 1, 1)
@@ -46,11 +47,32 @@ def test_keyword_edge_cases(spark):
     assert K.keyword_matches(texts, none).count() == 0
     assert K.keyword_semi_join(texts, none).count() == 3
     assert K.keyword_matches(texts, words(spark, [""], "keyword")).count() == 2
-    many = [f"k{i}" for i in range(FL.MAX_LITERAL_KEYWORDS + 1)]
-    with pytest.raises(ValueError):
-        FL.keyword_predicate(F.col("raw"), many)
-    assert readers.keyword_literals(words(spark, many, "keyword"), FL.MAX_LITERAL_KEYWORDS) is None
-    assert sorted(readers.keyword_literals(words(spark, ["a", "a", "b "], "keyword"), 5)) == ["a", "b "]
+    many = [f"k{i}" for i in range(5000)] + ["x"]
+    assert [r[0] for r in texts.where(FL.keyword_predicate(F.col("raw"), many)).collect()] == ["x"]
+
+
+def test_keywords_with_one_prefix_meet_only_their_texts(spark):
+    needles = [f"api.example.com/v/{i}" for i in range(1000)]
+    texts = [f"http://api.example.com/v/{i}" for i in range(0, 3000, 7)]
+    got = K.keyword_matches(words(spark, texts, "raw"), words(spark, needles, "keyword"))
+    want = sorted((t, n) for t in texts for n in needles if n in t)
+    assert sorted((r["raw"], r["keyword"]) for r in got.collect()) == want
+
+
+def test_salt_parts_equal_rows(spark):
+    rows = spark.range(0, 100_000, 1, 32).select(F.lit("h").alias("host"))
+    salts = rows.select(F.pmod(F.xxhash64(F.spark_partition_id(), "host"), F.lit(8)).alias("s")).distinct().count()
+    assert salts > 4
+    assert salted_join(rows, words(spark, ["h"], "host"), "host").count() == 100_000
+
+
+def test_crawl_meets_pages_by_what_a_fetch_asks_for(spark):
+    html = '<a href="/2#sec">a</a><a href="http://h/a/../3">b</a><a href="HTTP://H:80">c</a>'
+    rows = [("http://h/1", html), ("http://h/2", ""), ("http://h/3", ""), ("http://h/", "")]
+    result = C.crawl(frame(spark, rows, "url string, html string"), words(spark, ["http://h/1#top"], "seed"), depth=2)
+    assert sorted((r["url"], r["depth"]) for r in result.visited.collect()) == [
+        ("http://h/", 2), ("http://h/1", 1), ("http://h/2", 2), ("http://h/3", 2)
+    ]
 
 
 def test_scope_host_list(spark):
