@@ -7,12 +7,14 @@ any l. Each class chooses its own l by estimated cost: a longer prefix meets mor
 lists but asks for more shared shingles before a pair is verified. A pair has to
 share the smaller of the two l.
 
-Pairs are made in two steps, because only connections are wanted:
+Pairs are made in three steps, because only connections are wanted:
 
 1. every class meets only the least class of each list it is in. Those pairs are
    verified, and the links give groups, so thousands of near copies cost a pair or so
    each;
-2. every two classes of *different* groups that share enough prefix shingles are
+2. members of long lists meet a few more of their list, random ones, so that large
+   groups of near copies which are not all similar to one of them become one group;
+3. every two classes of *different* groups that share enough prefix shingles are
    verified. Lists that lie within one group are dropped before. No link between
    groups can be missed, and links within a group change nothing.
 
@@ -53,6 +55,8 @@ LONGEST = 4
 #: What comparing one shingle costs beside reading one entry of a list.
 VERIFY_COST = 0.05
 BLOCK_BITS = 14
+#: Rounds that join groups through lists of at least ``LONG`` entries before pairs between groups are made.
+ROUNDS, ORDERS, LONG = 2, 4, 16
 _GENERATION = np.uint64(0xA24BAED4963EE407)
 
 
@@ -230,7 +234,8 @@ def jaccard_components(
 
     firsts = rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("row"))
     classes = cut_lineage(rows.join(firsts.select("row"), "row", "left_semi"))
-    entries = cut_lineage(_entries(classes))
+    # spelled out from the prefixes each time: cheaper than a stored copy
+    entries = _entries(classes)
     lists = entries.groupBy("token").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most")
     shared = cut_lineage(entries.join(lists.select("token", "least"), "token"))
 
@@ -247,12 +252,12 @@ def jaccard_components(
     near = cut_lineage(_verified(cut_lineage(star), classes, docs, id_col, text_col, n, percent))
     groups = cut_lineage(components(near))
 
-    known = shared.join(groups.select(F.col("node").alias("row"), "root"), "row", "left").withColumn(
-        "root", F.coalesce("root", "row")
-    )
-    known = cut_lineage(known.drop("least"))
-    mixed = known.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
-    open_ = cut_lineage(known.join(mixed, "token"))
+    open_ = _between_groups(shared.drop("least"), groups)
+    for round_ in range(ROUNDS):
+        few = cut_lineage(_some_pairs(open_, round_, percent))
+        near = cut_lineage(near.unionByName(_verified(few, classes, docs, id_col, text_col, n, percent)))
+        groups = cut_lineage(components(near))
+        open_ = _between_groups(open_.drop("root"), groups)
     other = open_.select(
         "token", F.col("row").alias("row2"), F.col("size").alias("size2"), F.col("ell").alias("ell2"), F.col("root").alias("root2")
     )
@@ -260,8 +265,8 @@ def jaccard_components(
         open_.join(other, "token")
         .where((F.col("row") < F.col("row2")) & (F.col("root") != F.col("root2")) & fits)
         .groupBy("row", "row2")
-        .agg(F.count("*").alias("common"), F.first("ell").alias("ell"), F.first("ell2").alias("ell2"))
-        .where(F.col("common") >= F.least("ell", "ell2"))
+        .agg(F.count("*").alias("common"), *[F.first(c).alias(c) for c in ("ell", "ell2", "size", "size2")])
+        .where((F.col("common") >= F.least("ell", "ell2")) & _can_reach(percent))
         .select(F.col("row").alias("a"), F.col("row2").alias("b"))
     )
     late = cut_lineage(_verified(cut_lineage(cross), classes, docs, id_col, text_col, n, percent))
@@ -283,6 +288,50 @@ def jaccard_components(
     )
 
 
+def _between_groups(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """The entries with their groups, of those lists that are in more than one group."""
+    known = cut_lineage(
+        entries.join(groups.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    )
+    mixed = known.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
+    return cut_lineage(known.join(mixed, "token"))
+
+
+def _some_pairs(entries: DataFrame, round_: int, percent: int) -> DataFrame:
+    """(a, b): members of long lists with a few others of the list, those that come first in a random order.
+
+    There are ``ORDERS`` orders, a list uses one of them, so lists of the same documents
+    agree on who comes first. This only joins groups early; it decides nothing.
+    """
+    order = F.xxhash64(F.lit(round_), F.pmod("token", F.lit(ORDERS)), "row")
+    first = (
+        entries.groupBy("token")
+        .agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "row", "size", "ell", "root")).alias("f"))
+        .where(F.col("n") >= LONG)
+        .select("token", F.col("f.row").alias("row2"), F.col("f.size").alias("size2"), F.col("f.ell").alias("ell2"), F.col("f.root").alias("root2"))
+    )
+    return (
+        entries.join(first, "token")
+        .where((F.col("root") != F.col("root2")) & _fits("size", "size2", percent))
+        .groupBy("row", "row2")
+        .agg(F.count("*").alias("common"), F.first("ell").alias("ell"), F.first("ell2").alias("ell2"))
+        .where(F.col("common") >= F.least("ell", "ell2"))
+        .select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b"))
+        .distinct()
+    )
+
+
+def _can_reach(percent: int) -> Column:
+    """Whether a pair that shares ``common`` prefix shingles can share as many as its two sizes ask for.
+
+    Of the set whose prefix ends first, ``needed - l`` shingles lie beyond the prefix, and
+    no more than these can be shared beside the ``common`` ones.
+    """
+    beyond = lambda size, ell: F.floor((F.col(size) * percent + 99) / 100) - F.col(ell)
+    most = F.col("common") + F.greatest(beyond("size", "ell"), beyond("size2", "ell2"))
+    return most * (100 + percent) >= (F.col("size") + F.col("size2")) * percent
+
+
 def _fits(a: str, b: str, percent: int) -> Column:
     """Sets of these sizes can be similar enough."""
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
