@@ -11,7 +11,8 @@ as a key; ``WALKS`` walks give as many tables, so near sequences meet in one of
 high probability. The walk starts at every window of a document that may match; since
 it only reads forward, one embedding serves items of all sizes. Items are also
 embedded from their second to fourth word on, for passages whose first words differ.
-What meets is verified: exact edit distance of the item to the best passage there.
+What meets is verified: exact edit distance of the item to the best passage there,
+after the same bound on word triples for that item alone.
 
 Windows that cannot match are left out before: d edits spoil at most 3 d of the
 item's word triples, so a window needs at least the rest of them. That is exact, and
@@ -105,6 +106,8 @@ class Index:
     triples: np.ndarray
     bitmap: np.ndarray
     least: int
+    #: word triples of each item
+    grams: list[np.ndarray]
 
 
 def build_index(ids: list, texts: list[str]) -> Index | None:
@@ -128,11 +131,12 @@ def build_index(ids: list, texts: list[str]) -> Index | None:
         found_items.append(np.full(len(keys), item, np.int32))
     keys, items = np.concatenate(found_keys), np.concatenate(found_items)
     order = np.argsort(keys, kind="stable")
-    triples = np.unique(np.concatenate([textkit.ngrams(w, 3) for w in words]))
+    grams = [textkit.ngrams(w, 3) for w in words]
+    triples = np.unique(np.concatenate(grams))
     bitmap = np.zeros(1 << FILTER_BITS, bool)
     bitmap[(triples >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
     least = min(len(w) - 2 - 3 * allowed_edits(len(w)) for w in words)
-    return Index(ids, words, sizes, keys[order], items[order], max(map(len, words)), triples, bitmap, max(0, least))
+    return Index(ids, words, sizes, keys[order], items[order], max(map(len, words)), triples, bitmap, max(0, least), grams)
 
 
 def edit_distance(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -157,9 +161,9 @@ def matches(index: Index, hashes: np.ndarray, first: np.ndarray) -> Iterator[tup
     begin_of = np.repeat(first[:-1], np.diff(first))
     end_of = np.repeat(first[1:], np.diff(first))
     place = np.arange(n)
+    grams = textkit.ngrams(hashes, 3)
     if index.least:
         hit = np.zeros(n + 1, np.int64)
-        grams = textkit.ngrams(hashes, 3)
         maybe = np.flatnonzero(index.bitmap[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & (place[: len(grams)] + 3 <= end_of[: len(grams)]))
         at = np.minimum(np.searchsorted(index.triples, grams[maybe]), len(index.triples) - 1)
         sure = maybe[index.triples[at] == grams[maybe]]
@@ -190,6 +194,10 @@ def matches(index: Index, hashes: np.ndarray, first: np.ndarray) -> Iterator[tup
         best = None
         for a, b in _joined(sorted(set(found)), size + edits):
             lo, hi = max(first[text], a - STARTS - edits), min(first[text + 1], b + size + edits)
+            # the bound on shared triples again, now for this item
+            least = size - 2 - 3 * edits
+            if least > 0 and np.isin(index.grams[item], grams[lo : max(lo, hi - 2)]).sum() < least:
+                continue
             distance, end = edit_distance(index.words[item], hashes[lo:hi])
             if distance <= edits and (best is None or distance < best[0]):
                 best = (distance, int(lo + end - first[text]))
