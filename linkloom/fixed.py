@@ -6,12 +6,8 @@ HTTP status classes, wait times and default parameters.
 """
 
 # The URL pattern used on script bodies and on page text.
-URL_SCHEMES = (
-    "https?", "ftp", "smtp", "unknown", "sftp", "file", "data",
-    "telnet", "ssh", "ws", "wss", "git", "svn", "gopher",
-)
 URL_PATTERN = (
-    r"(?i)(?:" + "|".join(URL_SCHEMES) + r")://"
+    r"(?i)(?:https?|ftp|smtp|unknown|sftp|file|data|telnet|ssh|ws|wss|git|svn|gopher)://"
     r"(?:[^\t\n\f\r :@'\"]+(?::[^\t\n\f\r :@'\"]*)?@)?"
     r"(?:[_A-Z0-9.-]+|\[[_A-F0-9]*:[_A-F0-9:]+\])"
     r"(?::[0-9]{1,5})?"
@@ -24,12 +20,13 @@ URL_PATTERN = (
 # repeated group of alternatives recurses in java.util.regex.
 HTTP_RUN_PATTERN = r"https?://[a-zA-Z$-_! ]+"
 
-# Scheme, user info, host and port. A DNS name has at most 127
-# labels, and a bounded repeat keeps java.util.regex from recursing further.
+# Scheme, user info, host and port. The labels before the last two
+# are one run of characters without two dots in a row, up to a dot: any number of
+# labels, and no group for java.util.regex to recurse on.
 ORIGIN_PATTERN = (
     r"(?i)(?:https?|ftp|smtp)://"
     r"(?:[!-9;-?A-~]+(?::[!-9;-?A-~]+)?@)?"
-    r"(?:xn--[0-9a-z]+|[0-9a-z_-]+\.){0,126}"
+    r"(?:(?=[0-9a-z_-])(?:(?!\.\.)[0-9a-z_.-])*(?<=\.))?"
     r"(?:xn--[0-9a-z]+|[0-9a-z-]+)\.(?:xn--[0-9a-z]+|[0-9a-z]{2,10})"
     r"(?::(?:6553[0-5]|655[0-2][0-9]|65[0-4][0-9]{2}|6[0-4][0-9]{3}"
     r"|[1-5][0-9]{4}|[1-9][0-9]{1,3}|[0-9]))?"

@@ -8,14 +8,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PAIR, _KEY = "\x1e", "\x1f"
-# The HTML 4 names, with and without ";" where the standard allows both, and all
-# names of ASCII characters. The other HTML 5 names are symbols that do not occur
-# in links, and would make every plan carry a table ten times this size.
-_NAMED = _PAIR.join(
-    f"{name}{_KEY}{value}"
-    for name, value in sorted(html5.items())
-    if name.rstrip(";") in name2codepoint or value.isascii()
-)
+
+
+def _usual(name: str) -> bool:
+    """An HTML 4 name or a name of ASCII characters."""
+    return name.rstrip(";") in name2codepoint or html5[name].isascii()
+
+
+def _listed(names: list[str]) -> str:
+    return _PAIR.join(f"{name}{_KEY}{html5[name]}" for name in names)
+
+
+# All names of the standard, with and without ";" where it allows both. The usual
+# ones are looked up first; the rest is a table ten times that size.
+_NAMED = _listed([name for name in sorted(html5) if _usual(name)])
+_RARE = _listed([name for name in sorted(html5) if not _usual(name)])
 # Numbers 128..159 mean the Windows-1252 characters.
 _CP1252 = "".join(bytes([i]).decode("cp1252", errors="replace") for i in range(128, 160))
 _REPLACEMENT = "�"
@@ -44,7 +51,7 @@ def _number(piece: Column, prefix: int, base: int) -> Column:
 
 def _reference(piece: Column) -> Column:
     name = F.substr(piece, F.lit(2))
-    table = F.str_to_map(F.lit(_NAMED), F.lit(_PAIR), F.lit(_KEY))
+    table, rare = (F.str_to_map(F.lit(names), F.lit(_PAIR), F.lit(_KEY)) for names in (_NAMED, _RARE))
     return (
         F.when((piece == "&amp;"), F.lit("&"))
         .when(piece == "&lt;", F.lit("<"))
@@ -52,7 +59,7 @@ def _reference(piece: Column) -> Column:
         .when(piece == "&quot;", F.lit('"'))
         .when(piece.startswith("&#x") | piece.startswith("&#X"), _character(_number(piece, 3, 16)))
         .when(piece.rlike("^&#[0-9]"), _character(_number(piece, 2, 10)))
-        .when(piece.rlike("^&[A-Za-z]"), F.coalesce(F.element_at(table, name), piece))
+        .when(piece.rlike("^&[A-Za-z]"), F.coalesce(F.element_at(table, name), F.element_at(rare, name), piece))
         .otherwise(piece)
     )
 

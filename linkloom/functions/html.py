@@ -8,6 +8,8 @@ linear in the size of the page.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,7 +66,7 @@ def tag_name(token: Column) -> Column:
 def attribute(token: Column, name: str) -> Column:
     """One attribute of a start tag, NULL when absent, character references as
     written. Plain string work, so it stays inside generated code."""
-    this = rf"{name}(?=[\t\n\f\r />=])"
+    this = rf"{re.escape(name)}(?=[\t\n\f\r />=])"
     found = F.regexp_extract(
         token,
         rf"(?i)\A<{_TAG_NAME}{_GAP}(?:(?!{this}){_ATTRIBUTE}{_GAP})*+({this}(?:{_WS}*+={_WS}*+(?:{_VALUE})?+)?+)",

@@ -14,6 +14,12 @@ _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?"
 # A control character, a broken percent escape, or a blank in the authority
 # makes the whole string no URL.
 _NOT_A_URL = r"[\x00-\x1f\x7f]|%(?![0-9A-Fa-f]{2})|^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]* "
+# References that do not parse: the same, but what follows a scheme without a slash
+# and what a query holds may have any percent sign.
+_NOT_A_REFERENCE = (
+    r"[\x00-\x1f\x7f]|^(?![A-Za-z][A-Za-z0-9+.-]*+:[^/])[^?#]*%(?![0-9A-Fa-f]{2})|#.*%(?![0-9A-Fa-f]{2})"
+    r"|^(?:[A-Za-z][A-Za-z0-9+.-]*+:)?//[^/?#]* "
+)
 _ORIGIN = r"^[A-Za-z][A-Za-z0-9+.-]*+:(?://[^/?#]*+)?+"
 _DOT_SEGMENT = r"(^|/)\.\.?(/|$)"
 
@@ -126,21 +132,34 @@ def percent_encode(url: Column) -> Column:
     return F.when(url.rlike(r"[^\x00-\x7f]| "), F.array_join(encoded, "")).otherwise(url)
 
 
-def resolve(link: Column, base: Base, keep_fragment: bool = False, encode: str = "none") -> Column:
+def _without_dots(url: Column) -> Column:
+    """An absolute URL whose path, if it begins with a slash, has no dot segments."""
+    origin = F.regexp_extract(url, _ORIGIN, 0)
+    path = F.regexp_extract(url, _ORIGIN + r"(/[^?#]*)", 1)
+    rest = F.regexp_extract(url, r"[?#](?s:.*)", 0)
+    dotted = url.rlike(r"/\.\.?(?:[/?#]|\z)") & (path != "")
+    return F.when(dotted, F.concat(origin, _drop_dot_segments(path), rest)).otherwise(url)
+
+
+def resolve(
+    link: Column, base: Base, keep_fragment: bool = False, encode: str = "none", lenient: bool = False
+) -> Column:
     """RFC 3986 reference resolution onto prepared base parts.
 
     ``#frag`` gives NULL unless ``keep_fragment``; an empty link is the base
-    itself; a link with a scheme is taken as it is.
+    itself. ``lenient`` takes links with a scheme or a host as written, dot
+    segments included.
     """
     fragment = F.concat(F.regexp_extract(base.whole, r"^[^#]*", 0), link) if keep_fragment else F.lit(None)
     path = F.regexp_extract(link, r"^[^?#]*", 0)
     rest = F.regexp_extract(link, r"[?#](?s:.*)", 0)
+    whole = (lambda url: url) if lenient else _without_dots
     rooted = F.when(link.startswith("/"), path).otherwise(F.concat(base.directory, path))
     resolved = (
-        F.when(link.rlike(_SCHEME), link)
+        F.when(link.rlike(_SCHEME), whole(link))
         .when(link == "", base.whole)
         .when(link.startswith("#"), fragment)
-        .when(link.startswith("//"), F.concat(base.scheme, link))
+        .when(link.startswith("//"), whole(F.concat(base.scheme, link)))
         .when(link.startswith("?"), F.concat(base.document, link))
         .otherwise(F.concat(base.origin, _drop_dot_segments(rooted), rest))
     )
@@ -151,6 +170,11 @@ def resolve(link: Column, base: Base, keep_fragment: bool = False, encode: str =
     return resolved
 
 
+def parses(link: Column) -> Column:
+    """False for references that no parser of URLs takes."""
+    return ~link.rlike(_NOT_A_REFERENCE)
+
+
 def resolves(link: Column, base: Base, keep_fragment: bool = False) -> Column:
     """True where ``resolve`` gives a URL. Far cheaper than resolving."""
     empty = (link == "") & (base.whole == "")
@@ -165,10 +189,12 @@ def trim_link(link: Column) -> Column:
     ).otherwise(link)
 
 
-def absolute_url(link: Column, base: Column, keep_fragment: bool = False, encode: str = "none") -> Column:
+def absolute_url(
+    link: Column, base: Column, keep_fragment: bool = False, encode: str = "none", lenient: bool = False
+) -> Column:
     """``link`` as seen on the page ``base``, made absolute."""
     pair = F.struct(trim_link(link).alias("link"), Base.of(base).to_struct().alias("base"))
     return let(
         pair,
-        lambda p: resolve(p["link"], Base(*[p["base"][f] for f in Base.FIELDS]), keep_fragment, encode),
+        lambda p: resolve(p["link"], Base(*[p["base"][f] for f in Base.FIELDS]), keep_fragment, encode, lenient),
     )

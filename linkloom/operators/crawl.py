@@ -36,6 +36,16 @@ def _scope(subdomains: bool, inside: bool, extra_hosts: Sequence[str]) -> Column
     return scope & inside_path(url, F.col("seed")) if inside else scope
 
 
+def _on_hosts(pages: DataFrame, seeds: DataFrame, extra_hosts: Sequence[str]) -> DataFrame:
+    """Pages on the hosts of the seeds or on the extra ones: no walk can reach another, so no other is parsed."""
+    hosts = seeds.select(F.lower(host_of(F.col("seed"))).alias("_reach"))
+    if extra_hosts:
+        named = F.array(*[F.lit(h.lower()) for h in extra_hosts])
+        hosts = seeds.select(F.explode(F.array_append(named, F.lower(host_of(F.col("seed"))))).alias("_reach"))
+    hosts = cut_lineage(hosts.where("_reach is not null").distinct())
+    return pages.join(hosts, F.lower(host_of(F.col("url"))) == F.col("_reach"), "left_semi")
+
+
 def crawl(
     pages: DataFrame,
     seeds: DataFrame,
@@ -55,9 +65,12 @@ def crawl(
     lost executor never repeats the parsing. Seeds are a column: all walks run in
     the same jobs.
     """
+    reachable = pages.select("url", "html")
+    if not subdomains:
+        reachable = _on_hosts(reachable, seeds, extra_hosts)
     lined = cut_lineage(
         extract_links(
-            pages.select("url", "html"), profile, lineage=True, honor_base=options.pop("honor_base", True), **options
+            reachable, profile, lineage=True, honor_base=options.pop("honor_base", True), **options
         )
     )
     edges = lined.where("follow").select("where_url", "url").distinct().withColumn("key", fetch_key(F.col("url")))
@@ -67,12 +80,12 @@ def crawl(
     # links and pages meet on what a fetch would ask for, so a fragment, dot segments
     # or a bare host do not hide a page; of captures of one page the first counts
     captured = cut_lineage(
-        pages.select("url").groupBy(fetch_key(F.col("url")).alias("key")).agg(F.min("url").alias("page"))
+        reachable.select("url").groupBy(fetch_key(F.col("url")).alias("key")).agg(F.min("url").alias("page"))
     )
     # only pages that were captured can be walked to; once here, not per level
     edges = cut_lineage(
         edges.join(captured, "key")
-        .select("where_url", F.col("page").alias("url"))
+        .select("where_url", F.col("page").alias("url"), "key")
         .distinct()
     )
 
@@ -82,7 +95,9 @@ def crawl(
         .where(F.col("seed_host").isNotNull())
         .withColumn("key", fetch_key(F.col("seed")))
         .join(captured, "key")
-        .select("seed", "seed_host", F.col("page").alias("url"), F.lit(1).alias("depth"))
+        # a seed captured as written is its own page
+        .join(reachable.select(F.col("url").alias("own")).distinct(), F.col("seed") == F.col("own"), "left")
+        .select("seed", "seed_host", F.coalesce("own", "page").alias("url"), "key", F.lit(1).alias("depth"))
     )
     visited = level
     for step in range(2, depth + 1):
@@ -90,11 +105,11 @@ def crawl(
             level.select("seed", "seed_host", F.col("url").alias("where_url"))
             .join(edges, "where_url")
             .where(_scope(subdomains, inside, extra_hosts))
-            .select("seed", "seed_host", "url")
+            .select("seed", "seed_host", "url", "key")
             .distinct()
-            .join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
+            .join(visited.select("seed", "key"), ["seed", "key"], "left_anti")
             .withColumn("depth", F.lit(step))
-            .select("seed", "seed_host", "url", "depth")
+            .select("seed", "seed_host", "url", "key", "depth")
         )
         level = cut_lineage(reached)
         visited = visited.unionByName(level)

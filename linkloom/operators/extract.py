@@ -11,7 +11,7 @@ from linkloom import fixed
 from linkloom.functions import html as H
 from linkloom.functions import text as T
 from linkloom.functions.binding import let
-from linkloom.functions.urls import Base, absolute_url, resolve, resolves, trim_link
+from linkloom.functions.urls import Base, absolute_url, parses, resolve, resolves, trim_link
 from linkloom.operators import rules as R
 from linkloom.operators.filters import keyword_predicate
 
@@ -89,6 +89,12 @@ _FOUND = "\x01"
 _SCRIPT = r"(?i)\A<script[\t\n\f\r />]"
 
 
+def _found(label: str, urls: Column) -> Column:
+    """Links found on the page as a whole, as marked strings."""
+    prefix = F.lit(f"{_FOUND}{label}{_FOUND}")
+    return F.transform(urls, lambda u: F.concat(prefix, u))
+
+
 def raw_links(
     pages: DataFrame,
     rules: Sequence[R.LinkRule],
@@ -98,9 +104,12 @@ def raw_links(
     honor_base: bool = True,
     raw_tags: tuple[str, ...] = fixed.RAW_TEXT_TAGS,
     keep: Sequence[str] = (),
+    in_page: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Unresolved links: ``(where_url, base, source, raw, follow, inside)``.
 
+    ``in_page`` has arrays made from ``html`` as a whole, by label.
+
     One narrow pass: scan, cut each page into tokens, drop tokens that cannot
     hold a link, apply all rules to each, explode. Nothing is shuffled. The outer
     forms of the generators are meant: for the others the optimizer adds a test
@@ -118,8 +127,9 @@ def raw_links(
     if in_scripts:
         items.append(_script_links(in_scripts, F.col("tokens")))
     if page_text:
-        prefix = F.lit(f"{_FOUND}{R.PAGE_TEXT}{_FOUND}")
-        items.append(F.transform(_page_text_urls(F.col("marked"), text_scope), lambda u: F.concat(prefix, u)))
+        items.append(_found(R.PAGE_TEXT, _page_text_urls(F.col("marked"), text_scope)))
+    for label, found in (in_page or {}).items():
+        items.append(_found(label, found))
     none = F.array().cast("array<string>")
     item = F.concat(*[F.coalesce(i, none) for i in items]).alias("items")
     if honor_base:
@@ -135,7 +145,7 @@ def raw_links(
         staged.select("url", *keep, "items", Base.of(F.col("base_url")).to_struct().alias("base"))
         .select("url", *keep, "base", F.explode_outer("items").alias("token"))
         # for most rules bare tags hold no links, and this test is cheaper than parsing
-        .where(token.rlike(_MAY_LINK if all(id(r) in R.BUILT_IN for r in rules) else _ANY_TAG))
+        .where(token.rlike(_MAY_LINK if all(id(r) in R.BUILT_IN and not r.bare for r in rules) else _ANY_TAG))
     )
     e = R.Element(F.col("tag"), F.coalesce(F.col("text"), F.lit("")))
     links = _element_links([r for r in rules if not r.scripts_only], e)
@@ -177,9 +187,10 @@ def _parsed(
     text = H.element_text(token, tag, raw_tags) if with_text else F.lit(None).cast("string")
     scoped = all(id(r) in R.BUILT_IN for r in rules)
     referring = F.lit(True) if e.asked_all else token.contains("&")
+    anywhere = {name for r in rules for name in r.anywhere}
     columns = []
     for name in e.asked:
-        tags = R.ATTRIBUTE_TAGS.get(name) if scoped else None
+        tags = R.ATTRIBUTE_TAGS.get(name) if scoped and name not in anywhere else None
         value = H.attribute(token, name)
         columns.append((F.when(tag.isin(*tags), value) if tags else value).alias(e.column(name)))
     return per_token.select(
@@ -269,7 +280,7 @@ def links_by_rules(
     columns = ["source", "url", "where_url", *keep] + (["raw", "follow", "inside"] if lineage else [])
     out = (
         links.withColumn("link", trim_link(F.col("raw")))
-        .where(resolves(link, base, keep_fragment))
+        .where(resolves(link, base, keep_fragment) & parses(link))
         .withColumn("url", resolve(link, base, keep_fragment, encode))
         .select(*columns)
     )
@@ -292,39 +303,24 @@ def plain_links(pages: DataFrame, depths: int | None = None) -> DataFrame:
     Repeats are kept. With ``depths`` each row comes once per depth 0..depths and
     carries it, the way a run that writes one file per depth has it.
     """
-    html, url = F.col("html"), F.col("url")
-    tagged = links_by_rules(
-        pages, R.PLAIN[:3], honor_base=False, keep_fragment=True,
-        distinct=False, raw_tags=fixed.RAW_TEXT_TAGS_PLAIN,
+    html = F.col("html")
+    found = raw_links(
+        pages, R.PLAIN, honor_base=False, raw_tags=fixed.RAW_TEXT_TAGS_PLAIN,
+        in_page={"css_url": T.css_urls(html), "origin": T.origins_in_text(html), "http_run": T.http_urls_in_text(html)},
     )
-    foreign = plain_unresolved(pages)
-    in_text = pages.select(
-        url.alias("where_url"),
-        F.inline_outer(
-            F.concat(
-                _labelled("css_url", T.css_urls(html)),
-                _labelled("origin", T.origins_in_text(html)),
-                _labelled("http_run", T.http_urls_in_text(html)),
-            )
-        ),
+    base, link = Base.from_struct("base"), F.col("link")
+    as_written = F.col("source").isin(R.PLAIN_THIRD_PARTY.label, "origin", "http_run")
+    links = (
+        found.withColumn("link", trim_link(F.col("raw")))
+        .where(as_written | resolves(link, base, keep_fragment=True))
+        .withColumn("url", F.when(as_written, F.col("raw")).otherwise(resolve(link, base, keep_fragment=True, lenient=True)))
+        .select("source", "url", "where_url")
     )
-    resolved = F.when(
-        F.col("source") == "css_url", absolute_url(F.col("raw"), F.col("where_url"), keep_fragment=True)
-    ).otherwise(F.col("raw"))
-    in_text = in_text.where(F.col("raw").isNotNull()).select("source", resolved.alias("url"), "where_url")
-    links = tagged.unionByName(foreign).unionByName(in_text)
     if depths is None:
         return links
     return links.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depths))))
 
 
-def _labelled(label: str, found: Column) -> Column:
-    return F.transform(
-        F.coalesce(found, F.array().cast("array<string>")),
-        lambda u: F.struct(F.lit(label).alias("source"), u.alias("raw")),
-    )
-
-
 def plain_unresolved(pages: DataFrame) -> DataFrame:
     """Script addresses that name a web scheme, as written."""
     return raw_links(

@@ -28,6 +28,7 @@ class Element:
         self.text = text
         self._attrs = attrs
         self.asked: dict[str, Column] = {}
+        self._columns: dict[str, str] = {}
         self.asked_all = False
 
     @property
@@ -40,18 +41,20 @@ class Element:
         return self.tag == names[0] if len(names) == 1 else self.tag.isin(*names)
 
     def value(self, name: str) -> Column:
-        """Attribute value, NULL when absent."""
+        """Attribute value, NULL when absent. Names may hold any characters and are met in lower case."""
+        name = name.lower()
         if name not in self.asked:
             if self._attrs is None:
+                self._columns[name] = f"attr_{len(self._columns)}"
                 mapped = F.col("attrs")
                 self.asked[name] = F.when(mapped.isNotNull(), mapped[name]).otherwise(F.col(self.column(name)))
             else:
                 self.asked[name] = self._attrs[name]
         return self.asked[name]
 
-    @staticmethod
-    def column(name: str) -> str:
-        return f"attr_{name}"
+    def column(self, name: str) -> str:
+        """The column an asked attribute is parsed into; numbered, since a name may be anything."""
+        return self._columns[name]
 
     def attr(self, name: str) -> Column:
         """Attribute value, empty when absent."""
@@ -72,7 +75,9 @@ class LinkRule:
     links a crawl walks along; ``inside`` those the inside-path option restricts.
     ``element_text`` says that the text of elements other than raw-text ones is
     needed; ``scripts_only`` that the rule is about the bodies of scripts, which
-    are then searched once per page.
+    are then searched once per page. ``bare`` says that tags without attributes
+    give links too; ``anywhere`` names attributes read on more tags than
+    ``ATTRIBUTE_TAGS`` has.
     """
 
     label: str | Callable[[Element], Column]
@@ -83,6 +88,8 @@ class LinkRule:
     inside: bool = False
     element_text: bool = False
     scripts_only: bool = False
+    bare: bool = False
+    anywhere: tuple[str, ...] = ()
 
     def label_column(self, e: Element) -> Column:
         return F.lit(self.label) if isinstance(self.label, str) else self.label(e)
@@ -251,7 +258,7 @@ def _in_core_group(e: Element) -> Column:
 
 
 def _grouped(label: str, value: Callable[[Element], Column], **kind) -> LinkRule:
-    return LinkRule(label, _in_core_group, value, **kind)
+    return LinkRule(label, _in_core_group, value, bare=True, anywhere=("action",), **kind)
 
 
 def _in_second_group(e: Element) -> Column:
@@ -276,17 +283,22 @@ _SRC_TAGS = ("video", "audio", "embed", "track", "bgsound")
 _HREF_TAGS = ("area", "base")
 
 
-def _second_label(e: Element) -> Column:
+def _second(e: Element) -> Column:
+    """Label and value of the second group, chosen together."""
+    href, src = e.attr("href"), e.attr("src")
+    pair = lambda label, value: F.struct(label.alias("label"), value.alias("value"))
     return (
-        F.when(e.is_(*_SRC_TAGS, *_HREF_TAGS, "applet"), e.tag)
-        .when(e.is_("body"), "body-background")
-        .when(e.is_("link"), F.when(_contains_feed(e), "feed"))
-        .when(_webp(e), "webp-image")
-        .when(_social(e), _social_label(e))
-        .when(e.is_("a") & e.attr("href").endswith(".xml"), "sitemap")
-        .when(e.attr("src").startswith("data:"), "data-uri")
-        .when(_socket(e.attr("src")), "websocket")
-        .when(e.is_("frame", "frameset"), "frame")
+        F.when(e.is_(*_SRC_TAGS), pair(e.tag, src))
+        .when(e.is_(*_HREF_TAGS), pair(e.tag, href))
+        .when(e.is_("applet"), pair(e.tag, e.attr("archive")))
+        .when(e.is_("body"), pair(F.lit("body-background"), e.attr("background")))
+        .when(e.is_("link"), F.when(_contains_feed(e), pair(F.lit("feed"), href)))
+        .when(_webp(e), pair(F.lit("webp-image"), src))
+        .when(_social(e), pair(_social_label(e), e.attr("content")))
+        .when(e.is_("a") & href.endswith(".xml"), pair(F.lit("sitemap"), href))
+        .when(src.startswith("data:"), pair(F.lit("data-uri"), src))
+        .when(_socket(src), pair(F.lit("websocket"), src))
+        .when(e.is_("frame", "frameset"), pair(F.lit("frame"), src))
     )
 
 
@@ -297,16 +309,6 @@ def _contains_feed(e: Element) -> Column:
     return first
 
 
-def _second_value(e: Element) -> Column:
-    return (
-        F.when(e.is_(*_HREF_TAGS, "link", "a"), e.attr("href"))
-        .when(e.is_("applet"), e.attr("archive"))
-        .when(e.is_("body"), e.attr("background"))
-        .when(_social(e), e.attr("content"))
-        .otherwise(e.attr("src"))
-    )
-
-
 # Every element of the core group gives every core label, and at most one label
 # of the second group, chosen by tag.
 GROUPED = (
@@ -323,9 +325,9 @@ GROUPED = (
     ANY_SRC,
     META,
     LinkRule(
-        _second_label,
-        lambda e: _in_second_group(e) & _second_label(e).isNotNull() & (e.is_("link") | (_second_value(e) != "")),
-        _second_value,
+        lambda e: _second(e)["label"],
+        lambda e: _in_second_group(e) & _second(e)["label"].isNotNull() & (e.is_("link") | (_second(e)["value"] != "")),
+        lambda e: _second(e)["value"],
     ),
 )
 
@@ -346,14 +348,14 @@ PLAIN_THIRD_PARTY = LinkRule(
 )
 PLAIN = (PLAIN_HREF, PLAIN_SCRIPT, PLAIN_STYLE, PLAIN_THIRD_PARTY)
 
-# Attributes that the rules of this module read on these tags only. The others
-# are parsed on every tag.
+# Attributes that the rules of this module read on these tags only, but for those a
+# rule reads anywhere. The others are parsed on every tag.
 ATTRIBUTE_TAGS = {
     "action": ("form",), "content": ("meta",), "property": ("meta",), "name": ("meta",),
     "background": ("body",), "archive": ("applet",), "frameborder": ("frameset",),
     "rel": ("link",), "type": ("link",),
 }
-BUILT_IN = frozenset(id(r) for r in (*FULL, DATA, CUSTOM_DATA, *EXCLUSIVE, *PLAIN))
+BUILT_IN = frozenset(id(r) for r in (*FULL, DATA, CUSTOM_DATA, *EXCLUSIVE, *GROUPED, *PLAIN))
 
 PROFILES: dict[str, tuple[LinkRule, ...]] = {
     "core": CORE,

@@ -11,6 +11,11 @@ from linkloom.operators.rules import PAGE_TEXT
 from linkloom.plans import catalog
 from linkloom.plans import corpora as P
 
+# The labels in front as the group they are, which DuckDB's engine repeats without recursion.
+_ORIGIN_PATTERN = fixed.ORIGIN_PATTERN.replace(
+    r"(?:(?=[0-9a-z_-])(?:(?!\.\.)[0-9a-z_.-])*(?<=\.))?", r"(?:xn--[0-9a-z]+|[0-9a-z_-]+\.)*"
+)
+
 
 def pick(key: str, *choices: str) -> str:
     n = len(choices)
@@ -391,7 +396,7 @@ def sql() -> dict[str, str]:
         "py_depths": f"{plain()} SELECT source, url, where_url, depth FROM found, (SELECT unnest(range(3)) AS depth)",
         "urls_in_text": text_urls(fixed.URL_PATTERN),
         "http_urls_in_text": text_urls(fixed.HTTP_RUN_PATTERN, distinct="ALL"),
-        "origins_in_text": text_urls(fixed.ORIGIN_PATTERN, distinct="ALL"),
+        "origins_in_text": text_urls(_ORIGIN_PATTERN, distinct="ALL"),
         "css_urls": text_urls(fixed.CSS_URL_PATTERN, 1, distinct="ALL"),
         "seeds_valid": f"WITH {SEEDS} SELECT seed, {host('seed')} AS host FROM seeds WHERE {ABSOLUTE}",
         "seeds_rejected": f"WITH {SEEDS} SELECT seed FROM seeds WHERE NOT {ABSOLUTE}",

@@ -185,3 +185,38 @@ def test_extraction_reads_two_columns_and_shuffles_once(spark, sf_dir):
     narrow = links_by_rules(spark.read.parquet(f"{sf_dir}/pages.parquet"), R.CORE, distinct=False)
     plan = narrow._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "size(regexp_extract_all" not in plan and "Python" not in plan
+
+
+def test_own_rules_with_any_attribute_name(spark):
+    html = "<b (click)='/c1' data.href=/c2 xlink:href=/c3><b (Click)='/c4&amp;'><b clickx=/no>"
+    for name, want in (("(click)", {"/c1", "/c4&"}), ("data.href", {"/c2"}), ("xlink:HREF", {"/c3"})):
+        rule = R.LinkRule("own", lambda e, n=name: e.has(n), lambda e, n=name: e.attr(n))
+        assert links(links_by_rules(pages(spark, html), (rule,))) == {("own", f"http://h{u}") for u in want}
+
+
+def test_grouped_label_and_value_go_together(spark):
+    html = "<a href=/x src='data:image/gif,AA'><a href=/z.xml><iframe><script>'http://j/1'</script>"
+    got = links(extract_links(pages(spark, html), "grouped"))
+    assert {v for k, v in got if k in ("data-uri", "websocket", "sitemap")} == {"data:image/gif,AA", "http://h/z.xml"}
+    # tags without attributes give the page itself, scripts their text
+    assert ("script", "http://h/0") in got and ("jscode", "http://j/1") in got
+
+
+def test_links_with_a_scheme_lose_dot_segments(spark):
+    html = "<a href='http://h/a/../3?x=/../y'><a href=//g/b/./c/..><a href='mailto:a/../b'><a href='http://h/a..b/c.'>"
+    assert {u for _, u in links(link_label(pages(spark, html), "href"))} == {
+        "http://h/3?x=/../y", "http://g/b/", "mailto:a/../b", "http://h/a..b/c.",
+    }
+    plain = {u for s, u in links(plain_links(pages(spark, html))) if s == "py_href"}
+    assert plain >= {"http://h/a/../3?x=/../y", "http://g/b/./c/.."}
+
+
+def test_references_that_do_not_parse_give_nothing(spark):
+    html = "<a href='http://h/%zz'><a href='/50%'><a href='http://a b/c'><a href='/ok%41?100%'><a href='mailto:100%'><a href='/x#%q'>"
+    assert {u for _, u in links(link_label(pages(spark, html), "href"))} == {"http://h/ok%41?100%", "mailto:100%"}
+
+
+def test_plain_profile_scans_once(spark, sf_dir):
+    df = plain_links(spark.read.parquet(f"{sf_dir}/pages.parquet"), depths=2)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan

@@ -142,3 +142,22 @@ def test_long_inputs_do_not_overflow_the_stack(spark):
 def test_is_textual(spark):
     got = column(spark, ["text/html; charset=x", "application/javascript", "application/javascript;x", "image/png"], urls.is_textual)
     assert got == [True, True, False, False]
+
+
+def test_origins_with_any_number_of_labels(spark):
+    loose = re.compile(
+        r"(?i)(?:https?|ftp|smtp)://(?:[!-9;-?A-~]+(?::[!-9;-?A-~]+)?@)?(?:xn--[0-9a-z]+|[0-9a-z_-]+\.)*"
+        r"(?:xn--[0-9a-z]+|[0-9a-z-]+)\.(?:xn--[0-9a-z]+|[0-9a-z]{2,10})"
+    )
+    hosts = [
+        "a.b", "a..bc", "a.b..cd.ef", "_x.y_z.com", "x_.com", "xn--abc.de.com", "xn--a.xn--b", "-.co", "a.b.c1.d-e", "a.bc.", ".a.bc",
+        "a.bc..", "a_b.c_d.ef", "www.xn--p1ai", "a.verylonglabelhere.c", "www." * 140 + "com", "a." * 5000 + "org",
+    ]
+    got = column(spark, [f"see ftp://{h} end" for h in hosts], text.origins_in_text)
+    assert got == [loose.findall(f"see ftp://{h} end") for h in hosts]
+
+
+def test_all_named_references(spark):
+    names = ["&check;", "&NotEqualTilde;", "&starf;", "&amp;", "&eacute", "&nosuch;"]
+    got = column(spark, names, decode_entities)
+    assert got == [html.unescape(n) for n in names]

@@ -255,3 +255,11 @@ def test_text_sources_and_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "both/filtered")).collect() == [("[css] http://b/2",)]
     sinks.write_by_depth(links.withColumn("depth", F.lit(1)), str(tmp_path / "depth"))
     assert (tmp_path / "depth/domain=w_8/depth=1").is_dir()
+
+
+def test_crawl_parses_only_pages_in_reach(spark):
+    rows = [(f"http://H{h}/{i}", "<a href=/1>") for h in range(5) for i in range(3)]
+    pages, seeds = frame(spark, rows, "url string, html string"), words(spark, ["http://h1/0", "http://h3/0"], "seed")
+    near = C._on_hosts(pages, seeds, ())
+    assert {r["url"][:9] for r in near.collect()} == {"http://H1", "http://H3"}
+    assert C._on_hosts(pages, seeds, ["h4"]).count() == 9
