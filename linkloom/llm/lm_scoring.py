@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from linkloom.llm import textkit
 from linkloom.llm.common import crc_of_id, cut_lineage, ready_for_python
 
-SLICE = 4 << 20
+SLICE = 12 << 20
 ARCS = 1 << 20
 ORDER = 3
 DISCOUNT = 0.75
