@@ -18,7 +18,11 @@ Pairs are made in three steps, because only connections are wanted:
    verified. Lists that lie within one group are dropped before. No link between
    groups can be missed, and links within a group change nothing.
 
-Verification reads the whole texts of both sides and compares the whole sets.
+Before a pair is verified, or comes out of a join at all in step 3, the parity sketches
+of its whole sets are compared: bit b of a sketch says whether an odd number of
+shingles falls on b. Two sets differ in at least as many shingles as their sketches in
+bits, so a pair whose sketches differ in more bits than the similarity allows is no
+link. Verification reads the whole texts of both sides and compares the whole sets.
 
 How it runs: the order comes from a table of counters (shingles fall on counters by
 hash) that is filled over all documents. It has between 2**16 and 2**24 cells, so it
@@ -57,7 +61,10 @@ VERIFY_COST = 0.05
 BLOCK_BITS = 14
 #: Rounds that join groups through lists of at least ``LONG`` entries before pairs between groups are made.
 ROUNDS, ORDERS, LONG = 2, 4, 16
-_GENERATION = np.uint64(0xA24BAED4963EE407)
+#: 64-bit words of a sketch: it tells sets apart up to about a thousand differing shingles.
+SKETCH = [f"k{i}" for i in range(8)]
+#: An odd multiplier, so that the bits of a sketch do not follow the cells of the counters.
+_MIX = np.uint64(0xA24BAED4963EE407)
 
 
 def _sets(batch_column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -142,16 +149,26 @@ def _prefix(shingles: np.ndarray, counters: np.ndarray, shift: np.uint64, percen
     return shingles[order[: size - least + ell]], ell
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parities of how many shingles fall on each bit, as words of 64 bits."""
+    bits = 64 * len(SKETCH)
+    mixed = shingles.view(np.uint64) * _MIX
+    falls = (mixed >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(falls, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def class_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, counters: np.ndarray, bits: int) -> DataFrame:
-    """One narrow row per document: id, hash of the text, size and digest of the set, prefix and l."""
+    """One narrow row per document: id, hash of the text, size, digest and sketch of the set, prefix and l."""
     carried = docs.sparkSession.sparkContext.broadcast(counters)
     shift = np.uint64(64 - bits)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, prefixes, ells = [], [], [], []
-            for shingles in _sets(batch.column("text"), n):
+            sketches = np.zeros((batch.num_rows, len(SKETCH)), np.int64)
+            for i, shingles in enumerate(_sets(batch.column("text"), n)):
                 sizes.append(len(shingles))
+                sketches[i] = _sketch(shingles)
                 if not len(shingles):
                     digests.append(None), prefixes.append(None), ells.append(0)
                     continue
@@ -162,14 +179,14 @@ def class_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                    pa.array(prefixes, pa.binary()), pa.array(ells, pa.int32()),
+                    pa.array(prefixes, pa.binary()), pa.array(ells, pa.int32()), *[pa.array(k) for k in sketches.T],
                 ],
-                ["doc_id", "h", "n_shingles", "digest", "prefix", "ell"],
+                ["doc_id", "h", "n_shingles", "digest", "prefix", "ell", *SKETCH],
             )
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, h long, n_shingles long, digest binary, prefix binary, ell int"
+    schema = f"doc_id {kind}, h long, n_shingles long, digest binary, prefix binary, ell int, " + ", ".join(f"{k} long" for k in SKETCH)
     return given.mapInArrow(rows, schema).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -190,6 +207,22 @@ def _entries(classes: DataFrame) -> DataFrame:
     return classes.select("prefix", "row", "n_shingles", "ell").mapInArrow(explode, "token long, row long, size long, ell int")
 
 
+def _sketches(classes: DataFrame, row: str, size: str, mark: str) -> DataFrame:
+    return classes.select(F.col("row").alias(row), F.col("n_shingles").alias(size), *[F.col(k).alias(mark + k) for k in SKETCH])
+
+
+def _close(a: str, b: str, mark: str, percent: int) -> Column:
+    """Sets of sizes a and b whose sketches (the second marked) do not differ in too many bits."""
+    apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(mark + k))) for k in SKETCH), F.lit(0))
+    return apart * (100 + percent) <= (F.col(a) + F.col(b)) * (100 - percent)
+
+
+def _hopeful(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches do not rule out, stored."""
+    met = pairs.join(_sketches(classes, "a", "_size_a", ""), "a").join(_sketches(classes, "b", "_size_b", "_"), "b")
+    return cut_lineage(met.where(_close("_size_a", "_size_b", "_", percent)).select("a", "b"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """(a, b) of the pairs whose whole sets are similar enough, by their whole texts."""
     asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
@@ -249,21 +282,24 @@ def jaccard_components(
         .where(fits & (F.col("common") >= F.least("ell", "ell2")))
         .select(F.col("least").alias("a"), F.col("row").alias("b"))
     )
-    near = cut_lineage(_verified(cut_lineage(star), classes, docs, id_col, text_col, n, percent))
+    near = cut_lineage(_verified(_hopeful(star, classes, percent), classes, docs, id_col, text_col, n, percent))
     groups = cut_lineage(components(near))
 
     open_ = _between_groups(shared.drop("least"), groups)
     for round_ in range(ROUNDS):
-        few = cut_lineage(_some_pairs(open_, round_, percent))
+        few = _hopeful(_some_pairs(open_, round_, percent), classes, percent)
         near = cut_lineage(near.unionByName(_verified(few, classes, docs, id_col, text_col, n, percent)))
         groups = cut_lineage(components(near))
         open_ = _between_groups(open_.drop("root"), groups)
-    other = open_.select(
-        "token", F.col("row").alias("row2"), F.col("size").alias("size2"), F.col("ell").alias("ell2"), F.col("root").alias("root2")
-    )
+    sketched = open_.join(classes.select("row", *SKETCH), "row")
+    other = sketched.select(
+        "token", F.col("row").alias("row2"), F.col("size").alias("size2"), F.col("ell").alias("ell2"), F.col("root").alias("root2"),
+        *[F.col(k).alias(f"_{k}") for k in SKETCH],
+    )
+    apart = (F.col("row") < F.col("row2")) & (F.col("root") != F.col("root2"))
     cross = (
-        open_.join(other, "token")
-        .where((F.col("row") < F.col("row2")) & (F.col("root") != F.col("root2")) & fits)
+        sketched.join(other, "token")
+        .where(apart & fits & _close("size", "size2", "_", percent))
         .groupBy("row", "row2")
         .agg(F.count("*").alias("common"), *[F.first(c).alias(c) for c in ("ell", "ell2", "size", "size2")])
         .where((F.col("common") >= F.least("ell", "ell2")) & _can_reach(percent))
