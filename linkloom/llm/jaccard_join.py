@@ -61,7 +61,7 @@ VERIFY_COST = 0.05
 BLOCK_BITS = 14
 #: Rounds that join groups through lists of at least ``LONG`` entries before pairs between groups are made.
 ROUNDS, ORDERS, LONG = 2, 4, 16
-#: 64-bit words of a sketch: it tells sets apart up to about a thousand differing shingles.
+#: 64-bit words of a sketch: beyond some 500 differing shingles it tells little, and pairs go on to verification.
 SKETCH = [f"k{i}" for i in range(8)]
 #: An odd multiplier, so that the bits of a sketch do not follow the cells of the counters.
 _MIX = np.uint64(0xA24BAED4963EE407)
