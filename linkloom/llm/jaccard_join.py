@@ -253,11 +253,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
-    """doc_id, h (hash of the text), n_shingles, row, class_row, links and component_id of each document.
+    """doc_id, h (hash of the text), n_shingles, row, class_row, links, component_id and root of each document.
 
     Two documents are linked when ``100 * intersection >= percent * union`` of their sets
-    of n-word shingles; a component is what links reach, named by its least id. ``links``
-    counts the verified links of a document's class in the spanning set that was needed.
+    of n-word shingles; a component is what links reach, named by its least id. Several may
+    have one name (null ids, an id with different texts); ``root``, a row number, tells them
+    apart and is null without words. ``links`` counts the verified links of a document's class in the spanning set that was needed.
     """
     spark = docs.sparkSession
     ready_for_python(spark)
@@ -320,7 +321,7 @@ def jaccard_components(
     names = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("name"))
     return placed.join(names, "root", "left").select(
         "doc_id", "h", "n_shingles", "row", "class_row", F.coalesce("links", F.lit(0).cast("long")).alias("links"),
-        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"),
+        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"), "root",
     )
 
 
@@ -374,17 +375,16 @@ def _fits(a: str, b: str, percent: int) -> Column:
 
 
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least id.
+    """``docs`` with one document of each component: the one with the least id, one without an id last.
 
     Documents without words stay. Of rows that are the same in id and text one stays.
     """
     found = cut_lineage(jaccard_components(docs, id_col, text_col, n, percent))
-    alone = F.col("n_shingles") == 0
-    keep = found.where(alone | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = found.where("root is not null")
     # of several rows with the least id (or none) the first row stays
-    first = keep.where(~alone).groupBy("component_id").agg(F.min("row").alias("row"))
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f"))
     stay = cut_lineage(
-        keep.where(~alone).join(first.select("row"), "row", "left_semi").select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"))
+        linked.join(first.select(F.col("f.row").alias("row")), "row", "left_semi").select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"))
     )
     columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = docs.withColumn("_row_hash", F.xxhash64(F.col(text_col)))

@@ -220,3 +220,13 @@ def test_language_model_beats_its_base(docs):
     train = [d for d in docs.collect() if zlib.crc32(str(d["doc_id"]).encode()) % 7 != 2]
     n = sum(len(words(d["text"])) + 1 for d in train)
     assert all(r["train_tokens"] == n for r in rows)
+
+
+def test_every_component_keeps_a_document(spark):
+    text = lambda k, extra="": " ".join(f"w{k}x{i}" for i in range(40)) + extra
+    rows = [(None, text(k)) for k in range(6)] + [(None, text(0)), (None, text(1, " more")), (7, text(20)), (7, text(21)), (8, text(20)), (9, text(5))]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in jaccard_join.near_duplicates_removed(given).collect())
+    # a null id goes where its component has an id; of two linked texts without ids either may stay
+    either = [sorted([*((0, text(k)) for k in (0, 2, 3, 4)), (0, one), (7, text(20)), (7, text(21)), (9, text(5))]) for one in (text(1), text(1, " more"))]
+    assert kept in either
