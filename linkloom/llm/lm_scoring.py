@@ -10,17 +10,19 @@ over all arcs taken. Absolute discounting smooths every state; the root has an a
 every training token and shares add-one mass with unknown ones.
 
 Which arcs exist: the root has all training tokens, with exact counts. Longer n-grams
-are kept when they occur at least ``max(2, N / 2**20)`` times in N training tokens, so
-there can be at most ``2**20`` of each order (12 MB) at every size of the corpus; this part
-is carried to the tasks. The root grows with the vocabulary and is never carried: each
-slice of documents asks for the counts of its own words.
+are kept when they occur at least ``LEAST`` times in training, however large the corpus
+is, so what is gathered grows with it. None of it is carried to the tasks or comes to the
+driver: tables of n-grams and states are partitioned by hash, and each slice of documents
+asks for its own.
 
 How it runs: a first pass cuts documents into slices (about ``SLICE`` bytes) and writes,
 for each, its distinct word hashes, its texts as indexes into them, and the training
-counts. Slices send (word, count) lists to shards by hash; a shard adds up and answers
-each slice. Longer n-grams are counted over the slices, order by order; an n-gram is only
-counted if both n-grams one word shorter were kept, which loses none that would be.
-The last pass joins slices with the answers and reads the texts.
+counts. Then there are two exchanges. Slices send their distinct n-grams of all orders,
+with training counts, to shards by hash; a shard adds up and answers each slice, and
+names for each kept n-gram one slice that holds it. That slice adds the n-gram to the sums
+of the state its arc starts from; states are added up and answered in the same way. A key
+comes to a shard once per slice at most, so frequent words are no hot keys. The last pass
+joins slices with the answers and reads the texts.
 
 Tokens: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, then one end token.
 
@@ -33,8 +35,8 @@ are not read.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,8 @@ from linkloom.llm import textkit
 from linkloom.llm.common import crc_of_id, cut_lineage, ready_for_python
 
 SLICE = 12 << 20
-ARCS = 1 << 20
+#: How often an n-gram of two or more words has to occur to be an arc.
+LEAST = 2
 ORDER = 3
 DISCOUNT = 0.75
 END = np.uint64(0x5DEECE66D1234567)
@@ -109,138 +112,107 @@ def slices_of(docs: DataFrame, id_col: str, text_col: str, learned: Column) -> D
     return given.mapInArrow(cut, SLICE_SCHEMA)
 
 
-def _shard_of(words: np.ndarray, shards: int) -> np.ndarray:
-    return ((words >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps: the high bytes, mostly zero, compressed, the low ones as they are."""
+    planes = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    high = zlib.compress(planes[5:].tobytes(), 1)
+    return len(high).to_bytes(4, "little") + high + planes[:5].tobytes()
 
 
-def root_counts(slices: DataFrame, shards: int, least: int) -> DataFrame:
-    """The training count of every word of every slice, and what the shards know.
+def _unpack(blob) -> np.ndarray:
+    view = memoryview(blob)
+    at = 4 + int.from_bytes(view[:4], "little")
+    high = np.frombuffer(zlib.decompress(view[4:at]), np.uint8).reshape(3, -1)
+    low = np.frombuffer(view[at:], np.uint8).reshape(5, -1)
+    return np.cumsum(np.ascontiguousarray(np.vstack([low, high]).T).view("<u8").ravel(), dtype=np.uint64)
 
-    Rows with a slice have ``counts`` in the order of the slice's words of that shard.
-    Rows without have ``distinct``, the number of training tokens of the shard, and the
-    words (with counts) that occur at least ``least`` times.
-    """
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                words = np.frombuffer(batch.column("words")[k].as_buffer(), np.uint64)
-                train = _unzip(batch.column("train")[k].as_buffer(), np.uint32)
-                own = [o for o in _by_shard(words, shards) if len(o)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column("slice")[k].as_py()] * len(own)), pa.array([_shard_of(words[o[:1]], shards)[0] for o in own], pa.int32()),
-                        pa.array([words[o].tobytes() for o in own], pa.binary()), pa.array([_zip(train[o]) for o in own], pa.binary()),
-                    ],
-                    ["slice", "shard", "words", "train"],
-                )
+def _runs(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, first, last) of sorted keys; a shard is a range of hashes."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    bounds = np.searchsorted(shard, np.arange(shards + 1))
+    return [(s, a, b) for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if a < b]
+
+
+ASKED = "slice string, level int, shard int, keys binary, first binary, second binary"
+ANSWERED = "slice string, level int, shard int, first binary, second binary, distinct long"
+
+
+def _asks(name: str, level: int, keys: np.ndarray, first: np.ndarray, second: np.ndarray | None, shards: int) -> Iterator[pa.RecordBatch]:
+    """What a slice sends to the shards of a level: sorted keys with one or two numbers each."""
+    runs = _runs(keys, shards)
+    for at in range(0, len(runs), 64):
+        some = runs[at : at + 64]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([name] * len(some)), pa.array([level] * len(some), pa.int32()), pa.array([s for s, _, _ in some], pa.int32()),
+                pa.array([_pack(keys[a:b]) for _, a, b in some], pa.binary()), pa.array([_zip(first[a:b]) for _, a, b in some], pa.binary()),
+                pa.array([None if second is None else _zip(second[a:b]) for _, a, b in some], pa.binary()),
+            ],
+            ["slice", "level", "shard", "keys", "first", "second"],
+        )
+
+
+def _exchanged(asked: DataFrame, shards: int, states: bool) -> DataFrame:
+    """Sums over all slices of what they sent, answered to each slice in the order of its keys.
+
+    Of states both numbers are added up. Of n-grams ``first`` is the count (0 for one that is
+    not kept), ``second`` has the bits of those n-grams the slice is to add to their states;
+    rows without a slice have the number of training words of a shard.
+    """
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for k, shard in enumerate(batch.column("shard").to_pylist()):
-                if shard != now and held:
+            for k, key in enumerate(zip(batch.column("level").to_pylist(), batch.column("shard").to_pylist(), strict=True)):
+                if key != now and held:
                     yield totals(now, held)
                     held = []
-                now = shard
-                words = np.frombuffer(batch.column("words")[k].as_buffer(), np.uint64)
-                held.append((batch.column("slice")[k].as_py(), words, _unzip(batch.column("train")[k].as_buffer(), np.uint32)))
+                now = key
+                second = batch.column("second")[k].as_buffer()
+                held.append(
+                    (
+                        batch.column("slice")[k].as_py(), _unpack(batch.column("keys")[k].as_buffer()),
+                        _unzip(batch.column("first")[k].as_buffer(), np.uint32), None if second is None else _unzip(second, np.uint64),
+                    )
+                )
         if held:
             yield totals(now, held)
 
-    def totals(shard: int, held: list[tuple]) -> pa.RecordBatch:
-        words, place = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
-        weights = np.concatenate([h[2] for h in held]).astype(np.float64)
-        count = np.bincount(place, weights=weights, minlength=len(words)).astype(np.uint64)
-        at = np.cumsum([0, *(len(h[1]) for h in held)])
-        answers = [_zip(count[place[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        often = count >= least
-        none = [None] * len(held)
+    def totals(key: tuple[int, int], held: list[tuple]) -> pa.RecordBatch:
+        level, shard = key
+        known, at, place = np.unique(np.concatenate([h[1] for h in held]), return_index=True, return_inverse=True)
+        add = lambda k: _sums(place, np.concatenate([h[k] for h in held]), len(known))
+        ends = np.cumsum([0, *(len(h[1]) for h in held)])
+        cuts = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        first, distinct = add(2), None
+        if states:
+            both = add(3)
+            second = [_zip(both[place[a:b]]) for a, b in cuts]
+        else:
+            distinct = int((first > 0).sum()) if level == 1 else 0
+            if level > 1:
+                first = np.where(first >= LEAST, first, np.uint64(0))
+            own = np.zeros(len(place), bool)
+            own[at[first > 0]] = True
+            second = [zlib.compress(np.packbits(own[a:b]).tobytes(), 1) for a, b in cuts]
+        n = len(held)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([h[0] for h in held] + [None], pa.string()), pa.array([shard] * (len(held) + 1), pa.int32()),
-                pa.array([*answers, _zip(count[often])], pa.binary()), pa.array([*none, int((count > 0).sum())], pa.int64()),
-                pa.array([*none, words[often].tobytes()], pa.binary()),
+                pa.array([h[0] for h in held] + [None], pa.string()), pa.array([level] * (n + 1), pa.int32()), pa.array([shard] * (n + 1), pa.int32()),
+                pa.array([*(_zip(first[place[a:b]]) for a, b in cuts), None], pa.binary()), pa.array([*second, None], pa.binary()),
+                pa.array([None] * n + [distinct], pa.int64()),
             ],
-            ["slice", "shard", "counts", "distinct", "often"],
+            ["slice", "level", "shard", "first", "second", "distinct"],
         )
 
-    asked = slices.select("slice", "words", "train").mapInArrow(ask, "slice string, shard int, words binary, train binary")
-    dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(answer, "slice string, shard int, counts binary, distinct long, often binary")
-
-
-def _by_shard(words: np.ndarray, shards: int) -> list[np.ndarray]:
-    """For each shard, the places of its words, ascending."""
-    shard = _shard_of(words, shards)
-    order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-    return [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key in a sorted table, -1 where it is not."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
-
-
-@dataclass
-class Level:
-    """N-grams of one order, sorted by hash, and the states their arcs start from."""
-
-    gram: np.ndarray
-    n: np.ndarray
-    state: np.ndarray
-    #: how often a state was read in training, and its backoff weight
-    read: np.ndarray
-    backoff: np.ndarray
-
-
-@dataclass
-class Automaton:
-    """Tokens and distinct tokens of training, frequent words with counts, and arcs by order."""
-
-    tokens: float
-    distinct: float
-    words: np.ndarray
-    counts: np.ndarray
-    levels: list[Level] = field(default_factory=list)
-
-    def shorter(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """The kept n-grams one word shorter, with their counts."""
-        return (self.words, self.counts) if order == 2 else (self.levels[order - 3].gram, self.levels[order - 3].n)
-
-    def add(self, order: int, gram: np.ndarray, context: np.ndarray, n: np.ndarray) -> None:
-        """A level of arcs; what a state's arcs leave, its failure arc carries."""
-        by = np.argsort(gram)
-        gram, context, n = gram[by], context[by], n[by].astype(np.float64)
-        state, place = np.unique(context, return_inverse=True)
-        table, counts = self.shorter(order)
-        read = counts[_find(table, state)].astype(np.float64) if len(state) else np.empty(0)
-        arcs = np.bincount(place, weights=n - DISCOUNT, minlength=len(state))
-        self.levels.append(Level(gram, n, state, read, np.maximum(1.0 - arcs / np.maximum(read, 1.0), 1e-9)))
-
-    def read(self, hashes: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token at the root, and in the state reached before it.
-
-        The state before a token is the longest kept n-gram that ends there, so the
-        states of all tokens are known at once; weights run from the root outwards.
-        """
-        root = (counts + 1.0) / (self.tokens + self.distinct + 1.0)
-        now = root
-        for order, level in enumerate(self.levels, start=2):
-            before = np.append(np.uint64(0), gram_keys(hashes, doc, order - 1)[:-1])
-            keys = gram_keys(hashes, doc, order)
-            state = np.where(keys > 0, _find(level.state, before), -1)
-            arc = np.where(state >= 0, _find(level.gram, keys), -1)
-            in_state, has_arc = state >= 0, arc >= 0
-            longer = now.copy()
-            longer[in_state] = level.backoff[state[in_state]] * now[in_state]
-            longer[has_arc] += (level.n[arc[has_arc]] - DISCOUNT) / level.read[state[has_arc]]
-            now = longer
-        return np.log10(root), np.log10(now)
+    dealt = asked.repartition(shards, "level", "shard").sortWithinPartitions("level", "shard")
+    return cut_lineage(dealt.mapInArrow(answer, ANSWERED))
+
+
+def _sums(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by place; bincount adds in floats, which is exact up to 2**53."""
+    return np.bincount(place, weights=values.astype(np.float64), minlength=n).astype(np.uint64)
 
 
 def gram_keys(hashes: np.ndarray, doc: np.ndarray, order: int) -> np.ndarray:
@@ -262,36 +234,24 @@ def _tokens(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.n
     return words, text, np.array(batch.column("flags")[k].as_py(), bool), np.repeat(np.arange(len(lengths)), lengths)
 
 
-def add_level(slices: DataFrame, automaton: Automaton, order: int, least: int) -> None:
-    """Count the n-grams of one order over all training texts and keep those with ``least`` occurrences."""
-    carried = slices.sparkSession.sparkContext.broadcast(automaton.shorter(order)[0])
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys without 0, a place of each, and where each token's key is among them (-1 for 0)."""
+    known, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    if len(known) and known[0] == 0:
+        return known[1:], first[1:], place - 1
+    return known, first, place
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                words, text, flags, doc = _tokens(batch, k)
-                hashes = words[text]
-                if order == 2:
-                    shorter = (_find(carried.value, words) >= 0)[text]
-                else:
-                    shorter = _find(carried.value, gram_keys(hashes, doc, order - 1)) >= 0
-                keys = gram_keys(hashes, doc, order)
-                at = np.flatnonzero((keys > 0) & flags[doc] & shorter & np.append(False, shorter[:-1]))
-                found, first, n = np.unique(keys[at], return_index=True, return_counts=True)
-                context = gram_keys(hashes, doc, order - 1)[at[first] - 1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), pa.array(context.view(np.int64)), pa.array(n.astype(np.int64))],
-                    ["gram", "context", "n"],
-                )
-
-    partial = slices.select("words", "text", "lengths", "flags").mapInArrow(count, "gram long, context long, n long")
-    # at most ARCS rows come back, because each occurs least times
-    kept = partial.groupBy("gram", "context").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    gram, context, n = (kept.column(c).to_numpy() for c in ("gram", "context", "n"))
-    automaton.add(order, gram.view(np.uint64), context.view(np.uint64), n)
-
-
-def score_texts(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, arcs: int = ARCS) -> DataFrame:
+
+def _states(keys: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (among the shorter n-grams) of the states a slice reads from, and which token follows each.
+
+    ``keys`` are the n-grams of each token, ``shorter`` the place of each token's n-gram of one word less.
+    """
+    follows = np.flatnonzero(keys > 0)
+    return shorter[follows - 1], follows
+
+
+def score_texts(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, learned, n_tokens, n_known, train_tokens, base_score and score of each document.
 
     ``learned`` tells which rows the model is made from.
@@ -299,52 +259,111 @@ def score_texts(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     ready_for_python(spark)
     slices = cut_lineage(slices_of(docs, id_col, text_col, learned))
-    tokens, size = slices.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()
-    least = max(2, -(-tokens // arcs))
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    counts = cut_lineage(root_counts(slices, shards, least))
-    known = counts.where("slice is null").select("distinct", "often", "counts").toArrow().to_pylist()
-    often = [np.frombuffer(r["often"], np.uint64) for r in known]
-    n_often = [_unzip(r["counts"], np.uint64) for r in known]
-    words = np.concatenate([*often, np.empty(0, np.uint64)])
-    by = np.argsort(words)
-    automaton = Automaton(
-        float(tokens), float(sum(r["distinct"] for r in known)), words[by], np.concatenate([*n_often, np.empty(0, np.uint64)])[by]
-    )
-    for n in range(2, order + 1):
-        add_level(slices, automaton, n, least)
-    carried = spark.sparkContext.broadcast(automaton)
+    tokens, size, read_ = slices.agg(
+        F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)),
+        F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0)),
+    ).first()
+    # a shard holds its range of one order at a time; a slice has as many n-grams as tokens at most
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(size, 8 * read_) // SHARD_BYTES))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers: dict[int, np.ndarray] = {}
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, shard in enumerate(batch.column("shard").to_pylist()):
-                if shard is not None:
+            for k in range(len(batch)):
+                name = batch.column("slice")[k].as_py()
+                words, text, flags, doc = _tokens(batch, k)
+                yield from _asks(name, 1, words, _unzip(batch.column("train")[k].as_buffer(), np.uint32), None, shards)
+                hashes, trained = words[text], flags[doc]
+                for n in range(2, order + 1):
+                    known, _, place = _distinct(gram_keys(hashes, doc, n))
+                    count = np.bincount(place[trained & (place >= 0)], minlength=len(known)).astype(np.uint32)
+                    yield from _asks(name, n, known, count, None, shards)
+
+    counts = _exchanged(slices.select("slice", "words", "train", "text", "lengths", "flags").mapInArrow(ask, ASKED), shards, False)
+    distinct = counts.where("slice is null").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, dict]]:
+        """Each slice with its answers by level (states at ``-n``), in the order of its keys."""
+        held: dict[int, list] = defaultdict(list)
+        for batch in batches:
+            for k, level in enumerate(batch.column("level").to_pylist()):
+                if level is not None:
                     # the answers of a slice come before it
-                    answers[shard] = _unzip(batch.column("counts")[k].as_buffer(), np.uint64)
+                    first = _unzip(batch.column("first")[k].as_buffer(), np.uint64)
+                    second = zlib.decompress(batch.column("second")[k].as_buffer())
+                    other = np.frombuffer(second, np.uint64) if level < 0 else np.unpackbits(np.frombuffer(second, np.uint8), count=len(first)).astype(bool)
+                    held[level].append((first, other))
                     continue
-                words, text, flags, doc = _tokens(batch, k)
-                of_word = np.zeros(len(words))
-                for s, own in enumerate(_by_shard(words, shards)):
-                    if len(own):
-                        of_word[own] = answers[s]
-                answers = {}
-                count = of_word[text]
-                base, best = carried.value.read(words[text], doc, count)
-                n = len(flags)
-                add = lambda values, d=doc, m=n: np.bincount(d, weights=values, minlength=m)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(batch.column("ids")[k].as_py(), pa.int64()), pa.array(flags), pa.array(np.bincount(doc, minlength=n)),
-                        pa.array(add(count > 0).astype(np.int64)), pa.array(np.full(n, tokens, np.int64)), pa.array(add(base)), pa.array(add(best)),
-                    ],
-                    ["doc_id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                yield batch, k, {lv: tuple(np.concatenate(x) for x in zip(*h, strict=True)) for lv, h in held.items()}
+                held = defaultdict(list)
+
+    none = (np.empty(0, np.uint64), np.empty(0, bool))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, k, answers in taken(batches):
+            name = batch.column("slice")[k].as_py()
+            words, text, _, doc = _tokens(batch, k)
+            hashes = words[text]
+            shorter, shorter_at, often = words, text, answers[1][0]
+            for n in range(2, order + 1):
+                keys = gram_keys(hashes, doc, n)
+                known, first, place = _distinct(keys)
+                count, own = answers.get(n, none)
+                state, _ = _states(keys, shorter_at)
+                wanted = np.zeros(len(shorter), bool)
+                wanted[state] = True
+                # a state with fewer readings has no arc
+                wanted &= often >= LEAST
+                of = shorter_at[first[own] - 1]
+                arcs = np.bincount(of, minlength=len(shorter)).astype(np.uint32)
+                total = _sums(of, count[own], len(shorter))
+                yield from _asks(name, -n, shorter[wanted], arcs[wanted], total[wanted], shards)
+                shorter, shorter_at, often = known, place, count
+
+    def with_answers(*answers: DataFrame) -> DataFrame:
+        rows = slices.select("slice", "ids", "flags", "lengths", "words", "text")
+        for given in answers:
+            rows = rows.unionByName(given.where("slice is not null").drop("distinct"), allowMissingColumns=True)
+        by = ("slice", F.col("level").asc_nulls_last(), "shard")
+        return rows.repartition("slice").sortWithinPartitions(*by)
+
+    states = _exchanged(with_answers(counts).mapInArrow(add, ASKED), shards, True)
 
-    answered = counts.where("slice is not null").select("slice", "shard", "counts")
-    rows = slices.select("slice", "ids", "flags", "lengths", "words", "text").unionByName(answered, allowMissingColumns=True)
-    dealt = rows.repartition("slice").sortWithinPartitions("slice", F.col("shard").asc_nulls_last())
-    return dealt.mapInArrow(
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, k, answers in taken(batches):
+            words, text, flags, doc = _tokens(batch, k)
+            hashes = words[text]
+            often = answers[1][0]
+            count = often[text].astype(np.float64)
+            root = (count + 1.0) / (tokens + distinct + 1.0)
+            now, shorter, shorter_at = root.copy(), words, text
+            for n in range(2, order + 1):
+                keys = gram_keys(hashes, doc, n)
+                known, _, place = _distinct(keys)
+                n_gram, _ = answers.get(n, none)
+                state, at = _states(keys, shorter_at)
+                wanted = np.zeros(len(shorter), bool)
+                wanted[state] = True
+                wanted &= often >= LEAST
+                arcs, total = np.zeros(len(shorter)), np.zeros(len(shorter))
+                arcs[wanted], total[wanted] = answers.get(-n, none)
+                # what a state's arcs leave, its failure arc carries
+                seen = np.maximum(often.astype(np.float64), 1.0)
+                backoff = np.where(arcs > 0, np.maximum(1.0 - (total - DISCOUNT * arcs) / seen, 1e-9), 1.0)
+                found = n_gram[place[at]].astype(np.float64)
+                now[at] = backoff[state] * now[at] + np.where(found > 0, (found - DISCOUNT) / seen[state], 0.0)
+                shorter, shorter_at, often = known, place, n_gram
+            n = len(flags)
+            summed = lambda values, d=doc, m=n: np.bincount(d, weights=values, minlength=m)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(batch.column("ids")[k].as_py(), pa.int64()), pa.array(flags), pa.array(np.bincount(doc, minlength=n)),
+                    pa.array(summed(count > 0).astype(np.int64)), pa.array(np.full(n, tokens, np.int64)),
+                    pa.array(summed(np.log10(root))), pa.array(summed(np.log10(now))),
+                ],
+                ["doc_id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return with_answers(counts, states).mapInArrow(
         read, "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 

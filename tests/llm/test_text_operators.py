@@ -230,3 +230,29 @@ def test_every_component_keeps_a_document(spark):
     # a null id goes where its component has an id; of two linked texts without ids either may stay
     either = [sorted([*((0, text(k)) for k in (0, 2, 3, 4)), (0, one), (7, text(20)), (7, text(21)), (9, text(5))]) for one in (text(1), text(1, " more"))]
     assert kept in either
+
+
+def test_rare_ngrams_stay_in_a_large_corpus(spark):
+    texts = ["same " * 2_200_000, "one rare phrase", "and one rare phrase here", "here one rare end", "", "one rare phrase twice", "same same one rare"]
+    rows = [(k, t, k < 5) for k, t in enumerate(texts)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(4, "doc_id")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(given, F.col("learn")).collect()}
+    read = [[*t.split(), None] for t in texts]
+    count = [Counter(tuple(t[i : i + n]) for t in read[:5] for i in range(len(t) - n + 1)) for n in (1, 2, 3)]
+    arcs = [{}, defaultdict(list), defaultdict(list)]
+    for n in (1, 2):
+        for gram, k in count[n].items():
+            if k >= 2:
+                arcs[n][gram[:-1]].append(k)
+
+    def chance(before, word):
+        p = (count[0][word,] + 1) / (sum(count[0].values()) + len(count[0]) + 1)
+        for n in range(1, min(2, len(before)) + 1):
+            state = tuple(before[-n:])
+            if kept := arcs[n].get(state):
+                k = count[n][*state, word]
+                p = p * max(1 - sum(x - 0.75 for x in kept) / count[n - 1][state], 1e-9) + (k - 0.75 if k >= 2 else 0) / count[n - 1][state]
+        return p
+
+    for k in range(1, len(texts)):
+        assert got[k] == pytest.approx(sum(np.log10(chance(read[k][:i], w)) for i, w in enumerate(read[k])), rel=1e-9), k
