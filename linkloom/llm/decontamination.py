@@ -14,13 +14,19 @@ embedded from their second to fourth word on, for passages whose first words dif
 What meets is verified: exact edit distance of the item to the best passage there,
 after the same bound on word triples for that item alone.
 
-Windows that cannot match are left out before: d edits spoil at most 3 d of the
-item's word triples, so a window needs at least the rest of them. That is exact, and
-items too short for it get every window.
+How often walks meet depends on where the edits are, so they are not relied upon: d edits
+spoil at most n d of an item's n-grams, so of any n d + 1 of them a passage that matches
+holds one. The rarest of each item are a table too (triples; pairs or single words where
+an item is too short for triples), and what holds one of them is verified as well. No
+match can be missed.
+
+Windows that cannot match are left out before the walks: a window needs at least the
+triples that are not spoilt. That is exact, and items too short for it get every window.
 
 How it runs: one narrow pass over the documents for each block of at most ``BLOCK``
 items. A block's tables are carried to the tasks and have about ``BLOCK * WALKS * 4``
-entries of 12 bytes at most, whatever the benchmark's size; no document ever moves.
+entries of 12 bytes at most, and a block is ended early when its items have more than
+``BLOCK_WORDS`` words, whatever the benchmark's size; no document ever moves.
 
 Defined results: text is lower-cased; words are runs of letters and digits, so marks
 and white space do not matter. Null or wordless items match nothing; null or
@@ -47,6 +53,7 @@ WALKS = 24
 SAMPLED = 2
 STARTS = 4
 BLOCK = 20_000
+BLOCK_WORDS = 4_000_000
 FILTER_BITS = 22
 PAD = np.uint64(0)
 
@@ -108,6 +115,33 @@ class Index:
     least: int
     #: word triples of each item
     grams: list[np.ndarray]
+    #: by n, sorted n-grams of which a match holds one, and their items
+    rare: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def rare_grams(words: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each n, the n-grams of which any passage that matches an item holds at least one, and their items.
+
+    An item of w words with d edits keeps ``w - n + 1 - n d`` of its n-grams at least; the
+    largest n for which that is one or more is taken, and ``n d + 1`` places, rare ones first.
+    """
+    of_n: dict[int, list[int]] = {}
+    for item, w in enumerate(words):
+        d = allowed_edits(len(w))
+        of_n.setdefault(next((n for n in (3, 2) if len(w) - n + 1 - n * d > 0), 1), []).append(item)
+    tables = {}
+    for n, members in of_n.items():
+        grams = [textkit.ngrams(words[k], n) for k in members]
+        known, counts = np.unique(np.concatenate([np.unique(g) for g in grams]), return_counts=True)
+        keys = []
+        for k, g in zip(members, grams, strict=True):
+            order = np.lexsort((g, counts[np.searchsorted(known, g)]))
+            keys.append(np.unique(g[order[: n * allowed_edits(len(words[k])) + 1]]))
+        items = np.repeat(np.array(members, np.int32), [len(k) for k in keys])
+        flat = np.concatenate(keys)
+        by = np.argsort(flat, kind="stable")
+        tables[n] = (flat[by], items[by])
+    return tables
 
 
 def build_index(ids: list, texts: list[str]) -> Index | None:
@@ -136,7 +170,7 @@ def build_index(ids: list, texts: list[str]) -> Index | None:
     bitmap = np.zeros(1 << FILTER_BITS, bool)
     bitmap[(triples >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
     least = min(len(w) - 2 - 3 * allowed_edits(len(w)) for w in words)
-    return Index(ids, words, sizes, keys[order], items[order], max(map(len, words)), triples, bitmap, max(0, least), grams)
+    return Index(ids, words, sizes, keys[order], items[order], max(map(len, words)), triples, bitmap, max(0, least), grams, rare_grams(words))
 
 
 def edit_distance(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -188,6 +222,19 @@ def matches(index: Index, hashes: np.ndarray, first: np.ndarray) -> Iterator[tup
                 start = int(part[window])
                 for item in set(index.items[left[walk, window] : right[walk, window]].tolist()):
                     met.setdefault((int(text_of[start]), item), []).append(start)
+    for size, (keys, items) in index.rare.items():
+        here = grams if size == 3 else textkit.ngrams(hashes, size)
+        at = np.flatnonzero(place[: len(here)] + size <= end_of[: len(here)])
+        if size == 3:
+            at = at[index.bitmap[(here[at] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]]
+        left, right = np.searchsorted(keys, here[at], side="left"), np.searchsorted(keys, here[at], side="right")
+        for k in np.flatnonzero(left < right):
+            where = int(at[k])
+            text = int(text_of[where])
+            for item in items[left[k] : right[k]].tolist():
+                # a passage with this n-gram begins no earlier than this
+                words = len(index.words[item])
+                met.setdefault((text, item), []).extend((max(int(first[text]), where - words - allowed_edits(words)), where))
     for (text, item), found in sorted(met.items()):
         size = len(index.words[item])
         edits = allowed_edits(size)
@@ -219,13 +266,14 @@ def _joined(starts: list[int], gap: int) -> Iterator[tuple[int, int]]:
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block: int) -> Iterator[Index]:
     """The items in blocks; one block at a time is on the driver."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
-    ids, texts = [], []
+    ids, texts, words = [], [], 0
     for row in items.toLocalIterator():
         ids.append(row["item_id"]), texts.append(row["text"])
-        if len(ids) == block:
+        words += len(row["text"].split())
+        if len(ids) == block or words >= BLOCK_WORDS:
             if index := build_index(ids, texts):
                 yield index
-            ids, texts = [], []
+            ids, texts, words = [], [], 0
     if ids and (index := build_index(ids, texts)):
         yield index
 

@@ -256,3 +256,24 @@ def test_rare_ngrams_stay_in_a_large_corpus(spark):
 
     for k in range(1, len(texts)):
         assert got[k] == pytest.approx(sum(np.log10(chance(read[k][:i], w)) for i, w in enumerate(read[k])), rel=1e-9), k
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 8, 40, 100, 400])
+@pytest.mark.parametrize("how", ["opening", "deletions", "mixed", "insertions"])
+@pytest.mark.parametrize("lead", [0, 30])
+def test_every_match_is_found(size, how, lead):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(size)
+    items = [[f"w{rng.integers(5000)}" for _ in range(size)] for _ in range(10)]
+    index = decontamination.build_index(list(range(10)), [" ".join(w) for w in items])
+    edits = decontamination.allowed_edits(size)
+    for k, w in enumerate(items):
+        at = sorted(rng.choice(size, edits, replace=False).tolist(), reverse=True)
+        w = list(w)
+        for j in range(edits) if how == "opening" else at:
+            kind = {"opening": 0, "deletions": 0, "insertions": 1}.get(how, j % 3)
+            w[0 if how == "opening" else j : (0 if how == "opening" else j) + (kind != 1)] = [] if kind == 0 else [f"z{rng.integers(10**6)}"]
+        text = " ".join([f"v{x}" for x in range(lead)] + w + [f"u{x}" for x in range(60)])
+        for _, _, hashes, first in decontamination._slices(pa.array([text])):
+            assert any(item == k for _, item, *_ in decontamination.matches(index, hashes, first)), k
