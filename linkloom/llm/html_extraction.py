@@ -1,18 +1,20 @@
 """Main text of web pages by wrapper induction.
 
 A page becomes a tree of slots: elements with the same tag and class under the same
-parent share one slot, so a list of paragraphs is one slot however long it is. One page
-of each host, chosen by hash, gives the wrapper; every other page is aligned with it by
-simple tree matching (children in order, labels equal, the largest number of matched
-nodes). Over all pages of a host the texts of each slot are counted. A slot that has
-the same text in nearly all of at least ``MIN_PAGES`` different pages is template, one
-that varies is content. What remains is cut by what the markup says itself: menus,
+parent share one slot, so a list of paragraphs is one slot however long it is. The
+wrapper of a host is the merged tree of all its pages. Slots have unlike labels where they
+have one parent, so the largest matching of a page with the merged tree, whatever the
+order of siblings, is the one by paths of labels: a slot is named by a hash of its path,
+and no tree has to be carried. Over all pages of a host the texts of each slot are
+counted. A slot that has the same text in nearly all of at least
+``MIN_PAGES`` different pages that have it is template; one that varies is content. What
+remains is cut by what the markup says itself: menus,
 page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments vary between pages too, but are not the article.
 
-How it runs: pages stay where they are; the first pass sends one narrow row per page
-(slot and hash of its text) to an aggregate with map-side reduction, so a host with
-a third of all pages is no group in one task. Wrappers (one small tree per host) are
+How it runs: pages stay where they are; the first pass sends narrow rows (slot and hash
+of a text) to an aggregate with map-side reduction, so a host with
+a third of all pages is no group in one task. Templates (one row per host) are
 joined to the pages; Spark broadcasts them only below its own size limit, and adaptive
 execution may split a hot host. The second pass writes the texts.
 
@@ -27,7 +29,6 @@ nested deeper than ``DEPTH`` are read as children of that depth.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -73,23 +74,27 @@ BOILERPLATE = re.compile(
 
 
 class Slot:
-    """A node of the generalised tree: a label, child slots by label, and its texts."""
+    """A node of the generalised tree: child slots by label, its texts, and the hash of its path of labels."""
 
-    __slots__ = ("label", "children", "texts", "number")
+    __slots__ = ("children", "texts", "number")
 
-    def __init__(self, label: str):
-        self.label, self.children, self.texts, self.number = label, {}, [], -1
+    def __init__(self, number: int):
+        self.children, self.texts, self.number = {}, [], number
 
     def child(self, label: str) -> Slot:
         found = self.children.get(label)
         if found is None:
-            found = self.children[label] = Slot(label)
+            found = self.children[label] = Slot(_hash(f"{self.number} {label}"))
         return found
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def parse(html: str | None) -> tuple[Slot, list[tuple[str, Slot, bool, bool]]]:
     """The slots of a page and its blocks: (text, slot, dropped by markup, inside an article)."""
-    root = Slot("")
+    root = Slot(0)
     # (tag, slot, dropped, in article)
     stack: list[tuple[str, Slot, bool, bool]] = [("", root, False, False)]
     blocks: list[tuple[str, Slot, bool, bool]] = []
@@ -181,80 +186,11 @@ def parse(html: str | None) -> tuple[Slot, list[tuple[str, Slot, bool, bool]]]:
     return root, blocks
 
 
-def as_wrapper(root: Slot) -> str:
-    """A tree without texts, as JSON: [label, [children]]."""
-    dump = lambda s: [s.label, [dump(c) for c in s.children.values()]]
-    return json.dumps(dump(root), ensure_ascii=False)
-
-
-def wrapper_slots(wrapper: str) -> Slot:
-    """The tree of a wrapper, its slots numbered in order."""
-    count = 0
-
-    def load(node: list) -> Slot:
-        nonlocal count
-        slot = Slot(node[0])
-        slot.number, count = count, count + 1
-        for child in node[1]:
-            slot.children[child[0]] = load(child)
-        return slot
-
-    return load(json.loads(wrapper))
-
-
-def match_trees(page: Slot, wrapper: Slot) -> int:
-    """Simple tree matching: numbers the slots of the page that align, returns how many do."""
-
-    def weigh(a: Slot, b: Slot) -> int:
-        if a.label != b.label:
-            return 0
-        return 1 + table(a, b)[len(a.children)][len(b.children)]
-
-    known: dict[tuple[int, int], list[list[int]]] = {}
-
-    def table(a: Slot, b: Slot) -> list[list[int]]:
-        key = (id(a), id(b))
-        if key not in known:
-            left, right = list(a.children.values()), list(b.children.values())
-            rows = [[0] * (len(right) + 1)]
-            for x in left:
-                row, above = [0], rows[-1]
-                for j, y in enumerate(right):
-                    best = max(above[j + 1], row[j])
-                    if x.label == y.label:
-                        best = max(best, above[j] + weigh(x, y))
-                    row.append(best)
-                rows.append(row)
-            known[key] = rows
-        return known[key]
-
-    total, todo = 0, [(page, wrapper)]
-    while todo:
-        a, b = todo.pop()
-        a.number = b.number
-        total += 1
-        rows, left, right = table(a, b), list(a.children.values()), list(b.children.values())
-        i, j = len(left), len(right)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((left[i], right[j]))
-    return total
-
-
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-
-
 def filled_slots(page: Slot) -> Iterator[Slot]:
     todo = [page]
     while todo:
         slot = todo.pop()
-        if slot.number >= 0 and slot.texts:
+        if slot.texts:
             yield slot
         todo += slot.children.values()
 
@@ -264,54 +200,41 @@ def host_of_url(url: Column) -> Column:
 
 
 def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper, template): the tree of each host and the slots that are template."""
+    """(host, slots): the slots of each host that are template."""
     ready_for_python(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit(""))
     given = pages.select(host_of_url(F.col(url_col)).alias("host"), F.xxhash64(html).alias("page"), html.alias("html"))
-    # one page of each host: the one with the least hash
-    chosen = given.groupBy("host").agg(F.min("page").alias("page"))
-
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [as_wrapper(parse(h)[0]) for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.string())], ["host", "wrapper"])
-
-    first = given.join(chosen, ["host", "page"], "left_semi").select("host", "html").mapInArrow(trees, "host string, wrapper string")
-    wrappers = cut_lineage(first.groupBy("host").agg(F.min("wrapper").alias("wrapper")))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for h, w in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-                root, _ = parse(h)
-                match_trees(root, wrapper_slots(w))
-                rows.append([{"slot": s.number, "text": _hash("\n".join(s.texts))} for s in filled_slots(root)])
-            kind = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.int64())]))
+            for h in batch.column("html").to_pylist():
+                found = []
+                for s in filled_slots(parse(h)[0]):
+                    found.append({"slot": s.number, "text": _hash("\n".join(s.texts))})
+                rows.append(found)
+            kind = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(rows, kind)], ["host", "page", "slots"])
 
-    aligned = given.join(wrappers, "host").select("host", "page", "html", "wrapper")
     counted = cut_lineage(
-        aligned.mapInArrow(texts, "host string, page long, slots array<struct<slot:int,text:long>>")
+        given.mapInArrow(texts, "host string, page long, slots array<struct<slot:long,text:long>>")
         # pages that repeat count once
         .groupBy("host", "page").agg(F.first("slots").alias("slots"))
         .select("host", F.explode("slots").alias("s")).select("host", "s.slot", "s.text")
         .groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
-        .groupBy("host", "slot").agg(F.max("n").alias("most"), F.sum("n").alias("pages"))
     )
-    same = (F.col("pages") >= MIN_PAGES) & (F.col("most") >= F.col("pages") * SAME_SHARE)
-    slots = counted.groupBy("host").agg(
-        F.collect_list(F.when(same, F.col("slot"))).alias("template"), F.max((~same).cast("int")).alias("varies")
-    )
-    template = F.when(F.col("varies") == 1, F.col("template"))
-    return cut_lineage(wrappers.join(slots, "host", "left").select("host", "wrapper", F.coalesce(template, F.array().cast("array<int>")).alias("template")))
+    of_slot = cut_lineage(
+        counted.groupBy("host", "slot").agg(F.max("n").alias("most"), F.sum("n").alias("pages"))
+        .withColumn("same", (F.col("pages") >= MIN_PAGES) & (F.col("most") >= F.col("pages") * SAME_SHARE))
+    )
+    slots = of_slot.groupBy("host").agg(F.collect_list(F.when(F.col("same"), F.col("slot"))).alias("slots"), F.max((~F.col("same")).cast("int")).alias("varies"))
+    return cut_lineage(slots.where("varies = 1").select("host", "slots"))
 
 
-def main_text(html: str | None, wrapper: str | None, template: list[int] | None) -> str:
+def main_text(html: str | None, slots: list[int] | None) -> str:
     """The article of one page."""
-    root, blocks = parse(html)
-    if wrapper:
-        match_trees(root, wrapper_slots(wrapper))
-    fixed = set(template or ())
+    _, blocks = parse(html)
+    fixed = set(slots or ())
     kept = [b for b in blocks if not b[2] and b[1].number not in fixed]
     article = [b for b in kept if b[3]]
     return "\n".join(b[0] for b in article or kept)
@@ -319,11 +242,11 @@ def main_text(html: str | None, wrapper: str | None, template: list[int] | None)
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of each page."""
-    wrappers = induce(pages, url_col, html_col)
+    templates = induce(pages, url_col, html_col)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("html", "wrapper", "template"))
+            columns = (batch.column(c).to_pylist() for c in ("html", "slots"))
             made = [main_text(*row) for row in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())],
@@ -333,6 +256,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     given = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of_url(F.col(url_col)).alias("h")
     )
-    joined = given.join(wrappers, F.col("h") == F.col("host"), "left").select("page_id", "url", "html", "wrapper", "template")
+    joined = given.join(templates, F.col("h") == F.col("host"), "left").select("page_id", "url", "html", "slots")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     return joined.mapInArrow(texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

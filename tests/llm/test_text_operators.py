@@ -277,3 +277,14 @@ def test_every_match_is_found(size, how, lead):
         text = " ".join([f"v{x}" for x in range(lead)] + w + [f"u{x}" for x in range(60)])
         for _, _, hashes, first in decontamination._slices(pa.array([text])):
             assert any(item == k for _, item, *_ in decontamination.matches(index, hashes, first)), k
+
+
+def test_wrapper_is_made_from_all_pages(spark):
+    """A notice that some pages lack, whichever they are, and an empty page, are no reason to keep it."""
+    page = "<div class='body'><p>story {0}</div>"
+    full = "<div class='box'>Same notice</div>" + page
+    rows = [(h * 100 + i, f"http://h{h}/{i}", (page if i == 0 else full).format(i)) for h in range(12) for i in range(20)]
+    rows += [(h * 100 + 50, f"http://h{h}/50", None) for h in range(12)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_text(d).collect()}
+    assert got == {r[0]: f"story {r[0] % 100}" if r[2] else "" for r in rows}
