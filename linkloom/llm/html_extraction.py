@@ -6,8 +6,9 @@ wrapper of a host is the merged tree of all its pages. Slots have unlike labels
 have one parent, so the largest matching of a page with the merged tree, whatever the
 order of siblings, is the one by paths of labels: a slot is named by a hash of its path,
 and no tree has to be carried. Over all pages of a host the texts of each slot are
-counted. A slot that has the same text in nearly all of at least
-``MIN_PAGES`` different pages that have it is template; one that varies is content. What
+counted, whole and node by node. A slot that has the same text in nearly all of at least
+``MIN_PAGES`` different pages that have it is template; so is a node's text in a slot
+that varies, if nearly all of these pages have it there. The rest is content. What
 remains is cut by what the markup says itself: menus,
 page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments vary between pages too, but are not the article.
@@ -200,7 +201,7 @@ def host_of_url(url: Column) -> Column:
 
 
 def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, slots): the slots of each host that are template."""
+    """(host, slots, texts): the slots of each host that are template, and hashes of slot and text that are in others."""
     ready_for_python(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit(""))
     given = pages.select(host_of_url(F.col(url_col)).alias("host"), F.xxhash64(html).alias("page"), html.alias("html"))
@@ -211,31 +212,42 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
             for h in batch.column("html").to_pylist():
                 found = []
                 for s in filled_slots(parse(h)[0]):
-                    found.append({"slot": s.number, "text": _hash("\n".join(s.texts))})
+                    found.append({"slot": s.number, "text": _hash("\n".join(s.texts)), "whole": True})
+                    found += [{"slot": s.number, "text": t, "whole": False} for t in {_hash(t) for t in s.texts}]
                 rows.append(found)
-            kind = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.int64())]))
+            kind = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.int64()), ("whole", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(rows, kind)], ["host", "page", "slots"])
 
     counted = cut_lineage(
-        given.mapInArrow(texts, "host string, page long, slots array<struct<slot:long,text:long>>")
+        given.mapInArrow(texts, "host string, page long, slots array<struct<slot:long,text:long,whole:boolean>>")
         # pages that repeat count once
         .groupBy("host", "page").agg(F.first("slots").alias("slots"))
-        .select("host", F.explode("slots").alias("s")).select("host", "s.slot", "s.text")
-        .groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
+        .select("host", F.explode("slots").alias("s")).select("host", "s.slot", "s.text", "s.whole")
+        .groupBy("host", "slot", "text", "whole").agg(F.count("*").alias("n"))
     )
     of_slot = cut_lineage(
-        counted.groupBy("host", "slot").agg(F.max("n").alias("most"), F.sum("n").alias("pages"))
+        counted.where("whole").groupBy("host", "slot").agg(F.max("n").alias("most"), F.sum("n").alias("pages"))
         .withColumn("same", (F.col("pages") >= MIN_PAGES) & (F.col("most") >= F.col("pages") * SAME_SHARE))
     )
+    varying = of_slot.where(~F.col("same")).select("host", "slot", "pages")
+    parts = (
+        counted.where(~F.col("whole") & (F.col("n") >= MIN_PAGES * SAME_SHARE)).join(varying, ["host", "slot"])
+        .where((F.col("pages") >= MIN_PAGES) & (F.col("n") >= F.col("pages") * SAME_SHARE))
+        .groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("texts"))
+    )
     slots = of_slot.groupBy("host").agg(F.collect_list(F.when(F.col("same"), F.col("slot"))).alias("slots"), F.max((~F.col("same")).cast("int")).alias("varies"))
-    return cut_lineage(slots.where("varies = 1").select("host", "slots"))
+    return cut_lineage(slots.where("varies = 1").join(parts, "host", "left").select("host", "slots", "texts"))
 
 
-def main_text(html: str | None, slots: list[int] | None) -> str:
+def main_text(html: str | None, slots: list[int] | None, texts: list[dict] | None) -> str:
     """The article of one page."""
     _, blocks = parse(html)
-    fixed = set(slots or ())
-    kept = [b for b in blocks if not b[2] and b[1].number not in fixed]
+    fixed, fixed_texts = set(slots or ()), {(t["slot"], t["text"]) for t in texts or ()}
+    held = {slot for slot, _ in fixed_texts}
+    kept = [
+        b for b in blocks
+        if not b[2] and b[1].number not in fixed and not (b[1].number in held and (b[1].number, _hash(b[0])) in fixed_texts)
+    ]
     article = [b for b in kept if b[3]]
     return "\n".join(b[0] for b in article or kept)
 
@@ -246,7 +258,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("html", "slots"))
+            columns = (batch.column(c).to_pylist() for c in ("html", "slots", "texts"))
             made = [main_text(*row) for row in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())],
@@ -256,6 +268,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     given = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of_url(F.col(url_col)).alias("h")
     )
-    joined = given.join(templates, F.col("h") == F.col("host"), "left").select("page_id", "url", "html", "slots")
+    joined = given.join(templates, F.col("h") == F.col("host"), "left").select("page_id", "url", "html", "slots", "texts")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     return joined.mapInArrow(texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -288,3 +288,10 @@ def test_wrapper_is_made_from_all_pages(spark):
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_extraction.extract_text(d).collect()}
     assert got == {r[0]: f"story {r[0] % 100}" if r[2] else "" for r in rows}
+
+
+def test_constant_nodes_beside_varying_ones_are_template(spark):
+    page = "<div>Same first</div><div class='b'><p>Same before<p>story {0}<p>more {0}<p>Same after</div><div>own {0}</div>"
+    d = spark.createDataFrame([(i, f"http://h/{i}", page.format(i)) for i in range(6)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_text(d).collect()}
+    assert got == {i: f"story {i}\nmore {i}\nown {i}" for i in range(6)}
