@@ -249,7 +249,10 @@ def main_text(html: str | None, slots: list[int] | None, texts: list[dict] | Non
         if not b[2] and b[1].number not in fixed and not (b[1].number in held and (b[1].number, _hash(b[0])) in fixed_texts)
     ]
     article = [b for b in kept if b[3]]
-    return "\n".join(b[0] for b in article or kept)
+    # an article element is the page's text only if it holds most of what is left
+    if 2 * sum(len(b[0]) for b in article) < sum(len(b[0]) for b in kept):
+        article = kept
+    return "\n".join(b[0] for b in article)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -295,3 +295,9 @@ def test_constant_nodes_beside_varying_ones_are_template(spark):
     d = spark.createDataFrame([(i, f"http://h/{i}", page.format(i)) for i in range(6)], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_extraction.extract_text(d).collect()}
     assert got == {i: f"story {i}\nmore {i}\nown {i}" for i in range(6)}
+
+
+def test_small_article_element_is_not_the_page():
+    body = "<div><p>" + "a long body " * 20 + "</div>"
+    assert "long body" in html_extraction.main_text(body + "<article>teaser</article>", None, None)
+    assert html_extraction.main_text("<div>outside</div><article>" + body + "</article>", None, None) == ("a long body " * 20).strip()
