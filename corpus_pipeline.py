@@ -17,15 +17,13 @@ from linkloom.llm.common import cut_lineage, scratch_path, table
 from linkloom.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Predictions that are trusted less than this are rejected, as are texts without a letter.
-MIN_TRUST = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language go; the others carry the language that was found."""
+    """Texts without a language go; the others carry the language that was found, however sure it is."""
     model = language_id.train(language_id.train_allowed(docs))
     found = language_id.predict(docs.select(*COLUMNS), model)
-    known = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_TRUST))
+    known = found.where(F.col("lang_pred") != language_id.UNKNOWN)
     return known.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

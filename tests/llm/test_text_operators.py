@@ -301,3 +301,14 @@ def test_small_article_element_is_not_the_page():
     body = "<div><p>" + "a long body " * 20 + "</div>"
     assert "long body" in html_extraction.main_text(body + "<article>teaser</article>", None, None)
     assert html_extraction.main_text("<div>outside</div><article>" + body + "</article>", None, None) == ("a long body " * 20).strip()
+
+
+def test_pipeline_keeps_texts_with_an_unsure_language(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    answer = F.when(F.col("doc_id") % 2 == 0, F.lit("en")).otherwise(F.lit(language_id.UNKNOWN))
+    monkeypatch.setattr(language_id, "train_allowed", lambda d: d)
+    monkeypatch.setattr(language_id, "train", lambda d: None)
+    monkeypatch.setattr(language_id, "predict", lambda d, model: d.withColumn("lang_pred", answer).withColumn("score", F.lit(0.25)))
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.count() == docs.where("doc_id % 2 = 0").count() > 0
