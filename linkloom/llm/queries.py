@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import (
-    binary_output, chat_format, decontamination, html_extraction, jaccard_join, language_id, line_frequency, lm_scoring, mixing,
-    token_counts,
+    binary_output, chat_format, decontamination, hard_negatives, html_extraction, jaccard_join, language_id, line_frequency, lm_scoring,
+    mixing, piece_codec, spelling_variants, token_counts,
 )
 from linkloom.llm.common import scratch_path, table
 
@@ -81,19 +81,33 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=moved)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(spelling_variants.word_counts(table(spark, sf_dir, "documents"), slip=97))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_line_frequency, op2_language_id, op3_mixing, op4_jaccard_join, op5_token_counts, op6_html_extraction, op7_chat_format,
-            op8_decontamination, op9_binary_output, op10_lm_scoring,
+            op8_decontamination, op9_binary_output, op10_lm_scoring, op11_hard_negatives, op12_spelling_variants, op13_sentencepiece,
         )
     }
 
 
 def sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute force."""
-    return {"op1_line_frequency": LINE_FREQUENCY_SQL, "op4_jaccard_join": JACCARD_SQL}
+    return {"op1_line_frequency": LINE_FREQUENCY_SQL, "op4_jaccard_join": JACCARD_SQL, "op11_hard_negatives": NEGATIVES_SQL}
 
 
 LINE_FREQUENCY_SQL = r"""
@@ -154,3 +168,22 @@ SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r) AS compo
 FROM documents LEFT JOIN n USING (doc_id) JOIN reach ON reach.d = documents.doc_id
 GROUP BY documents.doc_id, n.n
 """
+
+NEGATIVES_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
+         list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS a, a.l AS al, b.vec_id AS b, b.l AS bl, list_dot_product(a.v, b.v)::BIGINT AS s
+  FROM r a, r b WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT a, b, s FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM s WHERE al = bl AND a <> b)
+  WHERE k <= 5),
+n AS (
+  SELECT p.a, p.b AS p, p.s AS ps, s.b AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS k
+  FROM p JOIN s ON s.a = p.a AND s.al <> s.bl AND 80 * p.s <= 100 * s.s AND 100 * s.s <= 100 * p.s)
+SELECT a AS anchor_id, p AS positive_id, k::INTEGER AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score
+FROM n WHERE k <= 5
+"""
