@@ -172,9 +172,9 @@ GROUP BY documents.doc_id, n.n
 NEGATIVES_SQL = """
 WITH r AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
-         list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
   FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
   SELECT a.vec_id AS a, a.l AS al, b.vec_id AS b, b.l AS bl, list_dot_product(a.v, b.v)::BIGINT AS s
   FROM r a, r b WHERE a.vec_id % 100 = 0),
