@@ -45,6 +45,32 @@ RAW_TEXT_TAGS_PLAIN = ("script", "style")
 # Raw-text elements in which character references are still decoded.
 DECODED_RAW_TAGS = ("title", "textarea")
 
+# Elements without content, which no end tag closes.
+VOID_TAGS = (
+    "area", "base", "basefont", "bgsound", "br", "col", "embed", "frame", "hr", "img",
+    "input", "keygen", "link", "meta", "param", "source", "track", "wbr",
+)
+# Start tags that end an open element, the elements they end, and
+# those inside which they do not look further out.
+IMPLIED_ENDS = (
+    (("li",), ("li",), ("ul", "ol")),
+    (("dt", "dd"), ("dt", "dd"), ("dl",)),
+    (("tr",), ("tr",), ("table",)),
+    (("td", "th"), ("td", "th"), ("tr", "table")),
+    (("tbody", "thead", "tfoot"), ("tbody", "thead", "tfoot"), ("table",)),
+    (("option",), ("option",), ("select",)),
+    (("optgroup",), ("option", "optgroup"), ("select",)),
+    (
+        (
+            "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset",
+            "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr",
+            "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul",
+        ),
+        ("p",),
+        ("button", "table", "td", "th", "caption", "object", "applet", "marquee", "template"),
+    ),
+)
+
 # Content types of <link> that announce a feed.
 FEED_TYPES = ("application/rss+xml", "application/atom+xml", "application/xml")
 

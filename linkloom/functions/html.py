@@ -47,6 +47,15 @@ def tokens(
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
 
 
+def pieces(html: Column, raw_tags: tuple[str, ...] = fixed.RAW_TEXT_TAGS) -> Column:
+    """All of a page in order: comments, whole raw-text elements, start tags, end tags, and text."""
+    pattern = (
+        rf"(?is){_COMMENT}|{_raw_element(raw_tags, 1)}|<{_TAG_NAME}{_TAG_BODY}(?:>|\z)"
+        r"|</[a-z][^>]*+(?:>|\z)|[^<]++|<"
+    )
+    return F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+
+
 def complete(tokens: Column) -> Column:
     """Tokens without a last start tag that the end of the page cuts off."""
     last = F.try_element_at(tokens, F.lit(-1))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkloom import fixed
 from linkloom.functions import html as H
+from linkloom.functions import nesting as N
 from linkloom.functions import text as T
 from linkloom.functions.binding import let
 from linkloom.functions.urls import Base, absolute_url, parses, resolve, resolves, trim_link
@@ -17,7 +18,8 @@ from linkloom.operators.filters import keyword_predicate
 
 
 def _page_text_urls(marked: Column, text_scope: str) -> Column:
-    """URLs in the text of a page: of each text node, and of all nodes together."""
+    """URLs in the text of a page: of each text node, and of all nodes together. For the
+    text of each element see ``_element_text_urls``."""
     scopes = {
         "node": lambda text: T.urls_in_text(H.node_texts(text)),
         "document": lambda text: T.urls_in_text(H.document_text(text)),
@@ -26,10 +28,17 @@ def _page_text_urls(marked: Column, text_scope: str) -> Column:
         ),
     }
     if text_scope not in scopes:
-        raise ValueError(f"text_scope must be one of {sorted(scopes)}, not {text_scope!r}")
+        raise ValueError(f"text_scope must be one of {sorted([*scopes, 'element'])}, not {text_scope!r}")
     return F.when(H.may_hold_url(marked), let(H.decode_marked(marked), scopes[text_scope]))
 
 
+def _element_text_urls(texts: Column, intervals: Column) -> Column:
+    """URLs in the text of every element, descendants included."""
+    # the root holds all of it, whether or not the page has a tag for it
+    root = T.urls_in_text(F.array_join(texts, ""))
+    return F.when(intervals.isNotNull(), F.array_union(N.found_in_elements(texts, intervals, T.urls_in_text), root))
+
+
 def _first_base_href(tokens: Column) -> Column:
     """``href`` of the first ``<base>`` that has one."""
     hrefs = F.transform(
@@ -117,16 +126,26 @@ def raw_links(
     """
     html, token = F.col("html"), F.col("token")
     with_text = any(r.element_text for r in rules)
+    by_element = page_text and text_scope == "element"
     in_scripts = [r for r in rules if r.scripts_only]
     # every value that is used more than once is a column of its own stage
-    columns = [H.tokens(html, raw_tags, with_text).alias("tokens")]
-    if page_text:
+    columns = [H.tokens(html, raw_tags, with_text=False).alias("tokens")]
+    if page_text and not by_element:
         columns.append(H.marked_text(html, raw_tags).alias("marked"))
     staged = pages.select("url", *keep, "html", *columns).withColumn("tokens", H.complete(F.col("tokens")))
     items = [F.col("tokens")]
+    if with_text or by_element:
+        asking = [r for r in rules if r.element_text]
+        staged = _nested(staged, raw_tags, asking, by_element)
+        parsed, texts, intervals = F.col("parsed"), F.col("texts"), F.col("intervals")
+        if with_text:
+            whole = N.elements_with_text(parsed, texts, intervals, lambda piece, text: _text_asked(asking, piece, text))
+            items = [F.coalesce(whole, F.col("tokens"))]
+        if by_element:
+            items.append(_found(R.PAGE_TEXT, _element_text_urls(texts, intervals)))
     if in_scripts:
         items.append(_script_links(in_scripts, F.col("tokens")))
-    if page_text:
+    if page_text and not by_element:
         items.append(_found(R.PAGE_TEXT, _page_text_urls(F.col("marked"), text_scope)))
     for label, found in (in_page or {}).items():
         items.append(_found(label, found))
@@ -173,6 +192,37 @@ def raw_links(
     )
 
 
+def _any(tests: Sequence[Column]) -> Column:
+    first, *others = tests
+    for other in others:
+        first = first | other
+    return first
+
+
+def _nested(staged: DataFrame, raw_tags: tuple[str, ...], rules: Sequence[R.LinkRule], by_element: bool) -> DataFrame:
+    """With the pieces of a page, their texts, and the intervals of its elements among them.
+
+    NULL on pages where no rule needs the text of an element.
+    """
+    html, texts = F.col("html"), F.col("texts")
+    in_tag = F.lit(True) if by_element else _any([html.contains(r.text_in_tag) if r.text_in_tag else F.lit(True) for r in rules])
+    if "marked" in staged.columns and all(r.text_holds_url for r in rules):
+        in_tag = in_tag & H.may_hold_url(F.col("marked"))
+    holds_url = F.array_join(texts, "").contains("://")
+    needed = [holds_url if r.text_holds_url else F.lit(True) for r in rules] + ([holds_url] if by_element else [])
+    pieces = N.parsed_pieces(H.pieces(N.without_marks(html), raw_tags), raw_tags)
+    parsed = staged.withColumn("parsed", F.when(in_tag, pieces)).withColumn("texts", N.piece_texts(F.col("parsed")))
+    return parsed.withColumn("intervals", F.when(_any(needed), N.intervals(F.col("parsed"))))
+
+
+def _text_asked(rules: Sequence[R.LinkRule], piece: Column, text: Column) -> Column:
+    """True for elements whose text some rule looks at."""
+    return _any([
+        (piece.contains(r.text_in_tag) if r.text_in_tag else F.lit(True)) & (text.contains("://") if r.text_holds_url else F.lit(True))
+        for r in rules
+    ])
+
+
 def _parsed(
     per_token: DataFrame, e: R.Element, rules: Sequence[R.LinkRule], raw_tags: tuple[str, ...], with_text: bool,
     kept: list[str],
@@ -184,7 +234,7 @@ def _parsed(
     stands next to the others on purpose: see the end of ``raw_links``.
     """
     token, tag = F.col("token"), H.tag_name(F.col("token"))
-    text = H.element_text(token, tag, raw_tags) if with_text else F.lit(None).cast("string")
+    text = F.try_element_at(F.split(token, N.MARK, 2), F.lit(2)) if with_text else F.lit(None).cast("string")
     scoped = all(id(r) in R.BUILT_IN for r in rules)
     referring = F.lit(True) if e.asked_all else token.contains("&")
     anywhere = {name for r in rules for name in r.anywhere}

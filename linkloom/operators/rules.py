@@ -73,8 +73,9 @@ class LinkRule:
 
     ``value`` may be an array, then each item is a link. ``follow`` marks the
     links a crawl walks along; ``inside`` those the inside-path option restricts.
-    ``element_text`` says that the text of elements other than raw-text ones is
-    needed; ``scripts_only`` that the rule is about the bodies of scripts, which
+    ``element_text`` says that the text of elements is needed, with that of their
+    descendants; ``text_in_tag`` that it is only where the start tag has these
+    characters, and ``text_holds_url`` only where the text has ``://``; ``scripts_only`` that the rule is about the bodies of scripts, which
     are then searched once per page. ``bare`` says that tags without attributes
     give links too; ``anywhere`` names attributes read on more tags than
     ``ATTRIBUTE_TAGS`` has.
@@ -87,6 +88,8 @@ class LinkRule:
     follow: bool = False
     inside: bool = False
     element_text: bool = False
+    text_in_tag: str = ""
+    text_holds_url: bool = False
     scripts_only: bool = False
     bare: bool = False
     anywhere: tuple[str, ...] = ()
@@ -188,9 +191,9 @@ FULL = CORE + (
 )
 
 # Off unless asked for.
-DATA = LinkRule("data", lambda e: e.has_prefix("data-") & (e.text != ""), lambda e: e.text, element_text=True)
+DATA = LinkRule("data", lambda e: e.has_prefix("data-") & (e.text != ""), lambda e: e.text, element_text=True, text_in_tag="-")
 CUSTOM_DATA = LinkRule(
-    "custom-data", lambda e: e.has_prefix("data-custom-") & (e.text != ""), lambda e: e.text, element_text=True
+    "custom-data", lambda e: e.has_prefix("data-custom-") & (e.text != ""), lambda e: e.text, element_text=True, text_in_tag="-"
 )
 
 # URLs in the text of a page; made per page, not per element.
@@ -315,7 +318,7 @@ GROUPED = (
     _grouped("href", lambda e: e.attr("href"), follow=True, inside=True),
     _grouped("script", lambda e: e.attr("src")),
     _grouped("form", lambda e: e.attr("action")),
-    _grouped("jscode", lambda e: urls_in_text(e.text), many=True, element_text=True),
+    _grouped("jscode", lambda e: urls_in_text(e.text), many=True, element_text=True, text_holds_url=True),
     _grouped("css", lambda e: e.attr("href")),
     EMBEDDED,
     JSCODE,

@@ -41,9 +41,9 @@ START = "1995-01-01 00:00:00"
 BUDGET_SECONDS = 86400
 
 
-def _link_query(label: str) -> Query:
+def _link_query(label: str, **options) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return E.link_label(P.captured_pages(spark, sf_dir), label)
+        return E.link_label(P.captured_pages(spark, sf_dir), label, **options)
 
     return query
 
@@ -399,6 +399,7 @@ def registered() -> dict[str, Query]:
         "classify_grouped": _extract_query("grouped"),
     }
     labels = {f"link_{name}": _link_query(label) for label, name in LABELS.items()}
+    labels["link_custom_REGEX_element"] = _link_query(R.PAGE_TEXT, text_scope="element")
     others = (
         seeds_valid, seeds_rejected, hosts_parsed, sink_lines, sink_json, sink_filtered, sink_by_depth,
         host_of, main_domain, seed_domain, absolute_url, absolute_url_base, parse_headers, truncate_body,

@@ -55,6 +55,8 @@ SHOP_PAGE = """<html><head>{base}
 <area href="/ar/{k}"><applet archive="/ap/{k}.jar"></applet><bgsound src="/bgs/{k}">
 <frame src="/fr/{k}"><frameset frameborder="1" src="/fs/{k}"></frameset>
 <div data-x="1">/d/{k}</div><div data-custom-x="1">/dc/{k}</div>
+<div data-y=1><b>/dn/{k}</b></div><div data-custom-y=1>/dc<i>n/{k}</i></div>
+<p>x <span><b>http://n.example.com/{k}</b>-2</span>-3
 <p style="background:url('/css/{k}.png')">see ftp://files.example.org/{k} end</p></body></html>"""
 
 

@@ -40,6 +40,8 @@ SHOP = f"shop AS (SELECT p_partkey AS k, {shop_origin('p_partkey')} AS o, {shop_
 NEXT, BACK, CROSS = shop_url("k + 4"), shop_url("k - 4"), shop_url("k * 2")
 API = "('https://api.example.com/v/' || k || '?a=1&b=2')"
 FTP = "('ftp://files.example.org/' || k)"
+# a URL in nested elements: as the innermost has it, the one around that, and the outer ones
+NESTED = ["('http://n.example.com/' || k)", "('http://n.example.com/' || k || '-2')", "('http://n.example.com/' || k || '-2-3')"]
 
 
 def _root(before: str, after: str = "") -> tuple[str, str]:
@@ -83,7 +85,7 @@ CORE = {
     "css": [_CSS],
     "embedded": _SCRIPTS + _OTHER_SRC,
     "interactive": [_whole(NEXT), _whole(BACK), _whole(CROSS), _BUTTON],
-    PAGE_TEXT: [_whole(API), _whole(FTP)],
+    PAGE_TEXT: [_whole(API), _whole(FTP), _whole(NESTED[0]), _whole(NESTED[2])],
 }
 FULL = {
     **CORE,
@@ -96,12 +98,14 @@ FULL = {
     "manifest": [_MANIFEST], "social-media-og:image": [_OG], "social-media-twitter:image": [_TW],
     "sitemap": [_SITEMAP], "data-uri": [_DATA_URI], "websocket": [_SOCKET], "frame": [_FRAME, _FRAMESET],
 }
-OPTIONAL = {"data": [_root("/d/"), _root("/dc/")], "custom-data": [_root("/dc/")]}
+OPTIONAL = {
+    "data": [_root("/d/"), _root("/dc/"), _root("/dn/"), _root("/dcn/")], "custom-data": [_root("/dc/"), _root("/dcn/")]
+}
 EXCLUSIVE = {
     "href": _ANCHORS, "script": _SCRIPTS, "form": [_FORM], "css": [_CSS], "webp-image": [_WEBP],
     "manifest": [_MANIFEST], "social-media-og:image": [_OG], "social-media-twitter:image": [_TW],
     "frame": [_FRAME], "embedded": [s for s in _OTHER_SRC if s not in (_WEBP, _FRAME)],
-    "jscode": [_whole(API)], PAGE_TEXT: [_whole(API), _whole(FTP)],
+    "jscode": [_whole(API)], PAGE_TEXT: CORE[PAGE_TEXT],
 }
 GROUPED = {
     **{label: links for label, links in FULL.items() if label != "manifest"},
@@ -272,9 +276,9 @@ def _plain() -> tuple[dict, list[str]]:
     runs = [_BASE, _whole(NEXT), _whole(BACK), _whole(CROSS), _LIB, _whole(API), _BUTTON]
     in_text = {
         "css_url": [_root("/css/", ".png")],
-        "http_run": runs,
+        "http_run": runs + [_whole("('http://n.example.com/' || k || '</b>-2</span>-3')")],
         "origin": [
-            (f"regexp_extract({u}, '^[a-z]+://[^/]+')",) * 2 for _, u in runs + [_whole(FTP)]
+            (f"regexp_extract({u}, '^[a-z]+://[^/]+')",) * 2 for _, u in runs + [_whole(FTP), _whole(NESTED[0])]
         ],
     }
     return {**resolved, **in_text}, ["py_href"]
@@ -295,7 +299,8 @@ SHOP_TAGS: list[tuple[str, str | None]] = [
     ("a", _SITEMAP[0]), ("a", "('../up/' || k)"), ("a", "('/bare/' || k)"), ("a", "('/q?x=1&y=' || k)"),
     ("button", _BUTTON[0]), ("form", None), ("img", None), ("img", None), ("iframe", None), ("video", None),
     ("audio", None), ("embed", None), ("track", None), ("area", _AREA[0]), ("applet", None), ("bgsound", None),
-    ("frame", None), ("frameset", None), ("div", None), ("div", None), ("p", None),
+    ("frame", None), ("frameset", None), ("div", None), ("div", None), ("div", None), ("b", None), ("div", None), ("i", None),
+    ("p", None), ("span", None), ("b", None), ("p", None),
 ]
 _PAGE_TOKEN = (
     "(?s)<!--.*?-->|<![^>]*>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title[^>]*>.*?</title>|<[a-zA-Z][^>]*>"
@@ -381,6 +386,7 @@ def sql() -> dict[str, str]:
     return {
         "html_elements": elements(),
         **labels,
+        "link_custom_REGEX_element": distinct_links({PAGE_TEXT: [_whole(u) for u in (API, FTP, *NESTED)]}),
         "extract_core": distinct_links(CORE),
         "extract_full": distinct_links(FULL),
         "classify_exclusive": distinct_links(EXCLUSIVE),

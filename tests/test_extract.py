@@ -1,5 +1,6 @@
 """Tokenizer and link rules."""
 
+import random
 from html.parser import HTMLParser
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from linkloom import fixed
 from linkloom.functions import html as H
+from linkloom.functions import nesting as N
 from linkloom.operators import rules as R
 from linkloom.operators.elements import html_elements
 from linkloom.operators.extract import extract_links, link_label, links_by_rules, plain_links
@@ -220,3 +222,80 @@ def test_plain_profile_scans_once(spark, sf_dir):
     df = plain_links(spark.read.parquet(f"{sf_dir}/pages.parquet"), depths=2)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan
+
+
+class Nested(HTMLParser):
+    """Elements with their whole text, by a stack."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.done = [], []
+
+    def _last(self, names):
+        return max((i + 1 for i, e in enumerate(self.open) if e[0] in names), default=0)
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in fixed.VOID_TAGS:
+            for tags, ended, behind in fixed.IMPLIED_ENDS:
+                if tag in tags and self._last(ended) > self._last(behind):
+                    self.open = self.open[: self._last(ended) - 1]
+        self.done.append([tag, ""])
+        if tag not in fixed.VOID_TAGS:
+            self.open.append(self.done[-1])
+
+    def handle_endtag(self, tag):
+        if self._last([tag]):
+            self.open = self.open[: self._last([tag]) - 1]
+
+    def handle_data(self, data):
+        for e in self.open:
+            e[1] += data
+
+
+def nested(df, raw=("script",)):
+    parsed = df.withColumn("parsed", N.parsed_pieces(H.pieces(F.col("html"), raw), raw))
+    parsed = parsed.withColumn("texts", N.piece_texts(F.col("parsed"))).withColumn("found", N.intervals(F.col("parsed")))
+    items = N.elements_with_text(F.col("parsed"), F.col("texts"), F.col("found"), lambda piece, text: F.lit(True))
+    return parsed.select("url", items.alias("items"))
+
+
+def test_element_text_against_a_stack(spark, monkeypatch):
+    monkeypatch.setattr(N, "CHUNK", 8)
+    rng = random.Random(5)
+    tags = ["p", "b", "span", "div", "li", "ul", "td", "tr", "table", "br", "img", "option", "select", "dd", "dl"]
+    kinds = (
+        lambda: f"<{rng.choice(tags)}{rng.choice(['', ' data-x=1'])}>", lambda: f"</{rng.choice(tags)}>",
+        lambda: rng.choice(["<script>x<b>'http://s/1'</script>", "<!-- <p> -->"]),
+        lambda: rng.choice(["http://a/", "1", "2 ", "&amp;", "ftp:", "//b/", "é"]),
+    )
+    sources = ["".join(rng.choice(kinds)() for _ in range(rng.randint(0, 40))) for _ in range(150)]
+    for row in nested(pages(spark, *sources)).collect():
+        source = sources[int(row["url"].rsplit("/", 1)[1])]
+        parser = Nested()
+        parser.feed(source)
+        parser.close()
+        got = [(H.re.match("<([a-z]+)", i)[1], i.split(N.MARK)[1]) for i in row["items"] or []]
+        assert sorted(got) == sorted((tag, text) for tag, text in parser.done), source
+
+
+def test_text_urls_by_element(spark):
+    html = "<p>x <span><b>http://a/1</b>2</span>3</p><p>f<b>tp://c/1</b></p><i>ht<b>tp://</b>b/</i><script>'http://j/'</script>"
+    found = {u for s, u in links(extract_links(pages(spark, html), "core", text_scope="element")) if s == R.PAGE_TEXT}
+    assert found >= {"http://a/1", "http://a/12", "http://a/123", "ftp://c/1", "http://b/", "http://j/"}
+    assert links(extract_links(pages(spark, None, "", "no url"), "core", text_scope="element")) == set()
+
+
+def test_whole_text_of_data_elements(spark):
+    html = "<div data-x=1><b>/d/1</b></div><i data-custom-y>/d/<u>2</u></i><div data-z></div><b data-n=1>/d/3\x02<p>"
+    got = links(extract_links(pages(spark, html), "core", data_labels=True))
+    assert {v for k, v in got if k == "data"} == {"http://h/d/1", "http://h/d/2", "http://h/d/3"}
+    assert {v for k, v in got if k == "custom-data"} == {"http://h/d/2"}
+    grouped = links(extract_links(pages(spark, "<a href=/x>go <b>http://t/1</b></a>"), "grouped"))
+    assert ("jscode", "http://t/1") in grouped
+
+
+def test_element_text_of_a_large_page(spark):
+    """The cost grows with the page and not with its square."""
+    html = "<div>" * 3 + "<p data-x=1>http://u/1 <b>x</b></p>" * 20_000
+    got = links(extract_links(pages(spark, html), "core", text_scope="element", data_labels=True))
+    assert ("custom_REGEX", "http://u/1") in got and len(got) == 2

@@ -12,7 +12,7 @@ from linkloom.plans import catalog, oracles
 QUERIES = catalog.registered()
 ORACLES = oracles.sql()
 # labels share one code path; these stand for it here, check.py runs all
-SAMPLED = {"link_href", "link_custom_REGEX", "link_data", "link_social_media"}
+SAMPLED = {"link_href", "link_custom_REGEX", "link_custom_REGEX_element", "link_data", "link_custom_data", "link_social_media"}
 NAMES = [n for n in QUERIES if not n.startswith("link_") or n in SAMPLED]
 
 
