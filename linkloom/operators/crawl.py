@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom import fixed
-from linkloom.functions.urls import fetch_key, host_of
+from linkloom.functions.urls import fetch_key, host_of, in_fetch_form
 from linkloom.operators import history as hist
 from linkloom.operators.extract import extract_links
 from linkloom.operators.filters import in_scope_host, in_scope_subdomains, inside_path, keyword_predicate
@@ -36,16 +36,6 @@ def _scope(subdomains: bool, inside: bool, extra_hosts: Sequence[str]) -> Column
     return scope & inside_path(url, F.col("seed")) if inside else scope
 
 
-def _on_hosts(pages: DataFrame, seeds: DataFrame, extra_hosts: Sequence[str]) -> DataFrame:
-    """Pages on the hosts of the seeds or on the extra ones: no walk can reach another, so no other is parsed."""
-    hosts = seeds.select(F.lower(host_of(F.col("seed"))).alias("_reach"))
-    if extra_hosts:
-        named = F.array(*[F.lit(h.lower()) for h in extra_hosts])
-        hosts = seeds.select(F.explode(F.array_append(named, F.lower(host_of(F.col("seed"))))).alias("_reach"))
-    hosts = cut_lineage(hosts.where("_reach is not null").distinct())
-    return pages.join(hosts, F.lower(host_of(F.col("url"))) == F.col("_reach"), "left_semi")
-
-
 def crawl(
     pages: DataFrame,
     seeds: DataFrame,
@@ -60,61 +50,43 @@ def crawl(
 ) -> CrawlResult:
     """Walk from each seed along ``a[href]`` to ``depth``; the seed page is depth 1.
 
-    Pages are parsed once, whatever the depth. What the loop joins is the narrow
-    edge table, written to the shared folder; each level is written too, so a
-    lost executor never repeats the parsing. Seeds are a column: all walks run in
-    the same jobs.
+    A page is parsed at the level that reaches it first, once for all seeds and levels, and no
+    page is that no walk reaches: each level is joined with the page table before the
+    tokenizer. What the loop joins is narrow: keys of captured pages, levels, and edges.
+    All of these are written to the shared folder, so a lost executor never repeats the
+    parsing. Seeds are a column: all walks run in the same jobs.
     """
-    reachable = pages.select("url", "html")
-    if not subdomains:
-        reachable = _on_hosts(reachable, seeds, extra_hosts)
-    lined = cut_lineage(
-        extract_links(
-            reachable, profile, lineage=True, honor_base=options.pop("honor_base", True), **options
-        )
-    )
-    edges = lined.where("follow").select("where_url", "url").distinct().withColumn("key", fetch_key(F.col("url")))
-    if not subdomains and not extra_hosts:
-        # a walk stays on one host, so edges between hosts can go before any join
-        edges = edges.where(host_of(F.col("key")) == host_of(fetch_key(F.col("where_url"))))
-    # links and pages meet on what a fetch would ask for, so a fragment, dot segments
-    # or a bare host do not hide a page; of captures of one page the first counts
-    captured = cut_lineage(
-        reachable.select("url").groupBy(fetch_key(F.col("url")).alias("key")).agg(F.min("url").alias("page"))
-    )
-    # only pages that were captured can be walked to; once here, not per level
-    edges = cut_lineage(
-        edges.join(captured, "key")
-        .select("where_url", F.col("page").alias("url"), "key")
-        .distinct()
-    )
-
-    level = cut_lineage(
-        seeds.select("seed").distinct()
-        .withColumn("seed_host", host_of(F.col("seed")))
-        .where(F.col("seed_host").isNotNull())
-        .withColumn("key", fetch_key(F.col("seed")))
-        .join(captured, "key")
-        # a seed captured as written is its own page
-        .join(reachable.select(F.col("url").alias("own")).distinct(), F.col("seed") == F.col("own"), "left")
-        .select("seed", "seed_host", F.coalesce("own", "page").alias("url"), "key", F.lit(1).alias("depth"))
-    )
-    visited = level
-    for step in range(2, depth + 1):
+    held = _held(pages, seeds, extra_hosts, everywhere=subdomains)
+    # of captures of one page the first answers
+    captured = cut_lineage(held.groupBy("key").agg(F.min("url").alias("page")))
+    one_host = not subdomains and not extra_hosts
+    level = _first_level(seeds, captured, held)
+    visited, fetched, parsed, edges = level, [], [], []
+    for step in range(1, depth + 1):
+        new = level.select("url").distinct()
+        new = cut_lineage(new.join(_union(fetched), "url", "left_anti") if fetched else new)
+        if not new.isEmpty():
+            fetched.append(new)
+            parsed.append(_parse(pages.join(new, "url", "left_semi"), profile, options))
+            if step < depth:
+                edges.append(_edges(parsed[-1], captured, one_host))
+        if step == depth or not edges:
+            break
         reached = (
             level.select("seed", "seed_host", F.col("url").alias("where_url"))
-            .join(edges, "where_url")
+            .join(_union(edges), "where_url")
             .where(_scope(subdomains, inside, extra_hosts))
             .select("seed", "seed_host", "url", "key")
             .distinct()
             .join(visited.select("seed", "key"), ["seed", "key"], "left_anti")
-            .withColumn("depth", F.lit(step))
+            .withColumn("depth", F.lit(step + 1))
             .select("seed", "seed_host", "url", "key", "depth")
         )
         level = cut_lineage(reached)
         visited = visited.unionByName(level)
 
     visited = visited.select("seed", "url", "depth")
+    lined = _union(parsed) if parsed else _parse(pages.where(F.lit(False)), profile, options)
     found = visited.withColumnRenamed("url", "where_url").join(lined, "where_url")
     if inside:
         found = found.where(~F.col("inside") | inside_path(F.col("url"), F.col("seed")))
@@ -125,6 +97,64 @@ def crawl(
     return CrawlResult(visited, links)
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    return whole
+
+
+def _held(pages: DataFrame, seeds: DataFrame, extra_hosts: Sequence[str], everywhere: bool) -> DataFrame:
+    """``(url, key)`` of the pages, written; the key is what a fetch would ask for.
+
+    Links and pages meet on the key, so a fragment, dot segments or a bare host do not hide a
+    page. Unless ``everywhere``, hosts no walk can be on are left out.
+    """
+    urls = pages.select("url", fetch_key(F.col("url")).alias("key"))
+    if not everywhere:
+        named = F.array(*[F.lit(h.lower()) for h in extra_hosts]).cast("array<string>")
+        hosts = seeds.select(F.explode(F.array_append(named, F.lower(host_of(F.col("seed"))))).alias("_reach"))
+        hosts = cut_lineage(hosts.where("_reach is not null").distinct())
+        urls = urls.join(hosts, F.lower(_host(F.col("key"))) == F.col("_reach"), "left_semi")
+    return cut_lineage(urls)
+
+
+def _first_level(seeds: DataFrame, captured: DataFrame, held: DataFrame) -> DataFrame:
+    """``(seed, seed_host, url, key, depth)`` of the seeds that were captured, written."""
+    return cut_lineage(
+        seeds.select("seed").distinct()
+        .withColumn("seed_host", host_of(F.col("seed")))
+        .where(F.col("seed_host").isNotNull())
+        .withColumn("key", fetch_key(F.col("seed")))
+        .join(captured, "key")
+        # a seed captured as written is its own page
+        .join(held.select(F.col("url").alias("own")).distinct(), F.col("seed") == F.col("own"), "left")
+        .select("seed", "seed_host", F.coalesce("own", "page").alias("url"), "key", F.lit(1).alias("depth"))
+    )
+
+
+def _parse(pages: DataFrame, profile: str, options: dict) -> DataFrame:
+    """Links of the pages, with the host of each page, written."""
+    options = {**options, "keep": [*options.get("keep", ()), "_host"]}
+    hosted = pages.select("url", "html", F.lower(_host(fetch_key(F.col("url")))).alias("_host"))
+    return cut_lineage(extract_links(hosted, profile, lineage=True, **options))
+
+
+def _host(key: Column) -> Column:
+    """Host of a fetch key."""
+    return F.when(in_fetch_form(key), F.substring_index(F.substring_index(key, "/", 3), "/", -1)).otherwise(host_of(key))
+
+
+def _edges(lined: DataFrame, captured: DataFrame, one_host: bool) -> DataFrame:
+    """``(where_url, url, key)`` of followed links to captured pages, written."""
+    edges = lined.where("follow").select("where_url", "_host", fetch_key(F.col("url")).alias("key"))
+    if one_host:
+        # a walk stays on one host, so edges between hosts can go before any shuffle
+        edges = edges.where(_host(F.col("key")) == F.col("_host"))
+    edges = edges.select("where_url", "key").distinct()
+    return cut_lineage(edges.join(captured, "key").select("where_url", F.col("page").alias("url"), "key"))
+
+
 def resume(
     pages: DataFrame, seeds: DataFrame, history: DataFrame, depth: int = fixed.DEFAULT_DEPTH,
     *, ts: Column | None = None, **options,

@@ -7,6 +7,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.functions import urls as U
 from linkloom.operators import crawl as C
 from linkloom.operators import dedupe as D
 from linkloom.operators import fetchlog as L
@@ -257,9 +258,38 @@ def test_text_sources_and_sinks(spark, tmp_path):
     assert (tmp_path / "depth/domain=w_8/depth=1").is_dir()
 
 
-def test_crawl_parses_only_pages_in_reach(spark):
-    rows = [(f"http://H{h}/{i}", "<a href=/1>") for h in range(5) for i in range(3)]
-    pages, seeds = frame(spark, rows, "url string, html string"), words(spark, ["http://h1/0", "http://h3/0"], "seed")
-    near = C._on_hosts(pages, seeds, ())
-    assert {r["url"][:9] for r in near.collect()} == {"http://H1", "http://H3"}
-    assert C._on_hosts(pages, seeds, ["h4"]).count() == 9
+def test_fetch_form_agrees_with_the_long_way(spark):
+    rng = random.Random(2)
+    parts = ["http://", "https://", "HTTP://", "ftp://", "a.com", "A.com", "u@b", ":80", ":443", "/", "/.", "/..", "x", ".y", "?q=/./z", "#f", "é", "[::1]", "a_b-c"]
+    urls = ["http://" + "".join(rng.choice(parts[4:]) for _ in range(rng.randint(0, 5))) for _ in range(300)]
+    urls += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(300)] + ["http://a.com/\n", "http://a.com/x\ny"]
+    url = F.col("url")
+    rows = words(spark, urls, "url").select("url", U.fetch_key(url).alias("short"), U._fetch_key(url).alias("long"), C._host(U.fetch_key(url)).alias("host"), U.host_of(U._fetch_key(url)).alias("want"))
+    for r in rows.collect():
+        assert r["short"] == r["long"] and r["host"] == r["want"], r
+
+
+def test_crawl_parses_only_reached_pages(spark, monkeypatch):
+    """With subdomains in scope too: two seeds of a corpus of many pages, each page parsed once."""
+    rows = [(f"http://h{h}.org/{i}", f"<a href=/{i + 1}><a href=/{i}><a href='http://w.h{h}.org/{i}'>") for h in range(6) for i in range(9)]
+    rows += [(f"http://w.h{h}.org/{i}", f"<a href='http://h{h}.org/{i + 1}'>") for h in range(6) for i in range(9)]
+    pages, seeds = frame(spark, rows, "url string, html string"), words(spark, ["http://h1.org/0", "http://h3.org/5", "http://h3.org/6"], "seed")
+    parsed = []
+    parse = C._parse
+    monkeypatch.setattr(C, "_parse", lambda p, *rest: parsed.extend(r["url"] for r in p.select("url").collect()) or parse(p, *rest))
+    graph = {u: [t.replace("href=", "").strip("'") for t in h.split("<a ")[1:]] for u, h in rows}
+    host = lambda u: u.split("/")[2]
+    full = {u: [t.rstrip(">").strip("'") if t.startswith(("http", "'")) else f"http://{host(u)}{t.rstrip('>')}" for t in ts] for u, ts in graph.items()}
+    for options, allowed in (({"subdomains": True}, lambda s, t: "." + host(s) in t or "//" + host(s) in t), ({}, lambda s, t: host(s) == host(t))):
+        parsed.clear()
+        result = C.crawl(pages, seeds, 3, profile="core", **options)
+        want = {(s, u, d) for s in ("http://h1.org/0", "http://h3.org/5", "http://h3.org/6") for u, d in walk(full, s, 3, allowed).items()}
+        assert {tuple(r) for r in result.visited.select("seed", "url", "depth").collect()} == want
+        assert sorted(parsed) == sorted({u for _, u, _ in want})
+
+
+def test_crawl_of_nothing(spark):
+    pages = frame(spark, [("http://h/1", "<a href=/1>")], "url string, html string")
+    for p, s in ((pages, []), (pages, ["http://g/"]), (pages.where("false"), ["http://h/1"])):
+        result = C.crawl(p, words(spark, s, "seed"), 3, profile="core")
+        assert result.visited.count() == 0 and result.links.count() == 0
