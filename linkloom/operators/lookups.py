@@ -1,10 +1,12 @@
 """Lookups against tables of any size: processed seeds, keywords, host lists.
 
 Finding which of many strings occur in a text is written as an equi-join, not as
-a nested loop. Every text gives its substrings of exactly the lengths that needles
-have, and those are joined with the needles themselves, so a candidate meets one
-needle at most and what joins is a match. Spark broadcasts the needles when
-they are small enough by its own size check and shuffles otherwise.
+a nested loop. Keywords are indexed under their rarest run of ``GRAM`` characters: a text
+gives each of its runs once, however many keywords of whatever lengths there are, and
+meets only keywords whose rarest run it has, which are then looked for in it. Hosts are met as a
+whole: a text gives its substrings of the lengths hosts have, but only from the places where
+a host may begin. Spark broadcasts an index when it is small enough by its own size
+check and shuffles otherwise; indexes are written tables, so that size is known.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.binding import let
 from linkloom.operators.skew import salted_join
+from linkloom.session import cut_lineage
 
 
 def _keyed(needles: DataFrame, column: str) -> tuple[DataFrame, list[int]]:
@@ -41,18 +45,59 @@ def _match(texts: DataFrame, keyed: DataFrame, candidates: Column) -> DataFrame:
     return texts.withColumn("_key", F.explode_outer(candidates)).join(keyed, "_key").drop("_key")
 
 
+GRAM = 3
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of characters of the given sizes."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+
+    def of_size(size: int) -> Column:
+        def run(chars: Column) -> Column:
+            return F.transform(
+                F.slice(chars, F.lit(1), F.greatest(F.size(chars) - (size - 1), F.lit(0))),
+                lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, size)]),
+            )
+
+        return let(chars, run)
+
+    return F.array_distinct(F.concat(*[of_size(size) for size in sizes]))
+
+
+def gram_index(needles: DataFrame, column: str) -> DataFrame:
+    """``(_gram, needle)``: each distinct, non-empty needle under its run that fewest needles have, written.
+
+    Runs have ``GRAM`` characters, or all of a shorter needle. Ties take the run that the order of
+    hashes gives, so needles that share all their runs still spread.
+    """
+    size = F.least(F.length(column), F.lit(GRAM))
+    distinct = needles.select(column).where(F.col(column) != "").distinct()
+    runs = F.when(size == 1, _grams(F.col(column), [1])).when(size == 2, _grams(F.col(column), [2])).otherwise(_grams(F.col(column), [GRAM]))
+    spelled = cut_lineage(distinct.select(column, F.explode_outer(runs).alias("_gram")))
+    common = spelled.groupBy("_gram").agg(F.count("*").alias("_n"))
+    chosen = F.min_by("_gram", F.struct("_n", F.xxhash64("_gram", column)))
+    return cut_lineage(salted_join(spelled, common, "_gram").groupBy(column).agg(chosen.alias("_gram")))
+
+
 def keyword_matches(links: DataFrame, keywords: DataFrame, column: str = "raw", keyword: str = "keyword") -> DataFrame:
     """Each link once per keyword that its ``column`` contains, with the keyword.
 
     The empty keyword is in every link.
     """
-    keyed, lengths = _keyed(keywords, keyword)
-    filled = [n for n in lengths if n > 0]
+    index = gram_index(keywords, keyword)
+    sizes = sorted(r[0] for r in index.select(F.length("_gram")).distinct().collect())
     everywhere = links.where(F.col(column).isNotNull()).withColumn(keyword, F.lit(""))
-    if not filled:
-        return everywhere if lengths else everywhere.where(F.lit(False))
-    found = _match(links, keyed.where(F.col("_key") != ""), _windows(F.col(column), _places(F.col(column)), filled))
-    return found.unionByName(everywhere) if 0 in lengths else found
+    with_empty = not keywords.where(F.col(keyword) == "").isEmpty()
+    if not sizes:
+        return everywhere if with_empty else everywhere.where(F.lit(False))
+    # the test comes after the join; as a part of its condition it would be one more reason to plan a nested loop
+    found = _runs(links, column, sizes).join(index, "_gram").where(F.contains(column, F.col(keyword))).drop("_gram")
+    return found.unionByName(everywhere) if with_empty else found
+
+
+def _runs(links: DataFrame, column: str, sizes: list[int]) -> DataFrame:
+    """Links once per distinct run of their text."""
+    return links.withColumn("_gram", F.explode_outer(_grams(F.col(column), sizes))).where(F.col("_gram").isNotNull())
 
 
 def keyword_semi_join(links: DataFrame, keywords: DataFrame, column: str = "raw", keyword: str = "keyword") -> DataFrame:

@@ -42,6 +42,19 @@ def test_keyword_matches(spark, seed):
     assert sorted(r[0] for r in kept.collect()) == sorted(t for t in texts if any(n in t for n in some))
 
 
+def test_keywords_are_indexed_under_their_rarest_run(spark):
+    needles = [f"api.example.com/{i}x" for i in range(50)] + ["zz", "q", "é.ü", "api", "zz"]
+    index = {r["keyword"]: r["_gram"] for r in K.gram_index(words(spark, needles, "keyword"), "keyword").collect()}
+    assert set(index) == set(needles) and all(g in n and len(g) == min(3, len(n)) for n, g in index.items())
+    count = lambda g: sum(g in n for n in index)
+    for n, g in index.items():
+        assert count(g) == min(count(n[k : k + len(g)]) for k in range(len(n) - len(g) + 1)), n
+    # a text gives no more rows than it has characters, whatever the lengths of the keywords
+    texts = words(spark, ["http://api.example.com/17x?q=é.ü" * 3, "aaaa", "", "ab"], "raw")
+    runs = K._runs(texts, "raw", [3]).groupBy("raw").count().collect()
+    assert {r["raw"]: r["count"] for r in runs}["aaaa"] == 1 and all(r["count"] <= len(r["raw"]) for r in runs)
+
+
 def test_keyword_edge_cases(spark):
     texts = words(spark, ["x", "y", None], "raw")
     none = words(spark, [], "keyword")
