@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom import fixed
+from linkloom.session import cut_lineage
 
 # Bits per block: what one bitmap of bitmap_construct_agg holds.
 BLOCK_BITS = 32768
@@ -91,18 +92,18 @@ def bloom_merge(*filters: DataFrame) -> DataFrame:
     return merged.groupBy("block").agg(F.bitmap_or_agg(F.col("bits")).alias("bits"))
 
 
+def _is_set(bits: Column, at: Column) -> Column:
+    octet = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(octet, (at % 8).cast("int")) == 1
+
+
 def bloom_test(lines: DataFrame, filter_table: DataFrame, spec: BloomSpec = BloomSpec()) -> DataFrame:
     """``lines`` with ``seen``: true where the filter has all bits of the line.
 
     Never false for a line that was put in; true for others at the error rate.
     """
     bits = F.col("bits")
-
-    def is_set(at: Column) -> Column:
-        octet = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return F.getbit(octet, (at % 8).cast("int")) == 1
-
-    seen = F.forall(_positions(F.col("_digest"), spec), is_set)
+    seen = F.forall(_positions(F.col("_digest"), spec), lambda at: _is_set(bits, at))
     return (
         _hashed(lines, spec)
         .join(filter_table, "block", "left")
@@ -115,3 +116,100 @@ def bloom_unique(lines: DataFrame, filter_table: DataFrame, spec: BloomSpec = Bl
     """Lines the filter has not seen, each once; the approximate form of
     ``unique_lines`` across runs."""
     return bloom_test(unique_lines(lines), filter_table, spec).where(~F.col("seen")).drop("seen")
+
+
+@dataclass(frozen=True)
+class ScalableSpec:
+    """A filter that grows: a series of slices, each ``growth`` times as large as the one before.
+
+    The error rate of each slice is ``tightening`` times that of the one before, so all of
+    them together stay within ``error_rate`` however many there are. Lines are tested against
+    every slice, so the number of slices, a logarithm of the lines, is the price.
+    """
+
+    capacity: int = fixed.BLOOM_CAPACITY
+    error_rate: float = fixed.BLOOM_ERROR_RATE
+    growth: int = 4
+    tightening: float = 0.5
+
+    def slice(self, number: int) -> BloomSpec:
+        first = self.error_rate * (1 - self.tightening)
+        return BloomSpec(self.capacity * self.growth**number, first * self.tightening**number)
+
+    def shares(self, held: dict[int, int], new: int) -> list[tuple[int, int]]:
+        """(slice, lines) to put ``new`` lines where there is room, given the lines each slice holds."""
+        shares, number = [], 0
+        while new > 0:
+            room = min(new, max(0, self.slice(number).capacity - held.get(number, 0)))
+            if room:
+                shares.append((number, room))
+            new -= room
+            number += 1
+        return shares
+
+
+SCALABLE_SCHEMA = "slice int, block bigint, bits binary, lines bigint"
+
+
+def scalable_add(lines: DataFrame, filters: DataFrame | None = None, spec: ScalableSpec = ScalableSpec()) -> DataFrame:
+    """The filters ``(slice, block, bits, lines)`` with the lines they have not seen added.
+
+    How many lines are new is counted; which slice each goes to is drawn by its hash in
+    proportion to the room there is, so nothing is numbered or sorted. ``lines`` of a block is how many it
+    holds. Written tables stand between the steps, as they are used more than once.
+    """
+    new = unique_lines(lines.select("line").where(F.col("line").isNotNull()))
+    held: dict[int, int] = {}
+    if filters is not None:
+        # as many rows as there are slices
+        held = {r["slice"]: r["n"] for r in filters.groupBy("slice").agg(F.sum("lines").alias("n")).collect()}
+        if held:
+            new = scalable_test(new, filters, spec).where(~F.col("seen")).select("line")
+    new = cut_lineage(new)
+    count = new.count()
+    shares = spec.shares(held, count)
+    place = _digest_part(F.md5(F.col("line").cast("binary")), 7) % F.lit(max(count, 1))
+    drawn, below = F.lit(None).cast("int"), count
+    for number, share in reversed(shares):  # slice by slice from the last place down
+        drawn = F.when(place < below, number).otherwise(drawn)
+        below -= share
+    parts = [] if filters is None else [filters.select("slice", "block", "bits", "lines")]
+    placed = new.select("line", drawn.alias("slice"))
+    for number, _ in shares:
+        own = spec.slice(number)
+        hashed = _hashed(placed.where(F.col("slice") == number).select("line"), own)
+        counted = hashed.select("block", F.posexplode_outer(_positions(F.col("_digest"), own)).alias("k", "bit")).where(F.col("bit").isNotNull())
+        parts.append(
+            counted.groupBy("block")
+            .agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"), F.count_if(F.col("k") == 0).alias("lines"))
+            .select(F.lit(number).alias("slice"), "block", "bits", "lines")
+        )
+    if not parts:
+        return lines.sparkSession.createDataFrame([], SCALABLE_SCHEMA)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy("slice", "block").agg(F.bitmap_or_agg("bits").alias("bits"), F.sum("lines").alias("lines"))
+
+
+def scalable_test(lines: DataFrame, filters: DataFrame, spec: ScalableSpec = ScalableSpec()) -> DataFrame:
+    """Each distinct line with ``seen``: true where some slice has all bits of it."""
+    slices = sorted(r["slice"] for r in filters.select("slice").distinct().collect())
+    distinct = lines.select("line").distinct()
+    if not slices:
+        return distinct.withColumn("seen", F.lit(False))
+    digest = F.col("_digest")
+    probes = F.array(*[
+        F.struct(F.lit(n).alias("slice"), _block(digest, spec.slice(n)).alias("block"), _positions(digest, spec.slice(n)).alias("bits"))
+        for n in slices
+    ])
+    asked = distinct.select("line", F.md5(F.col("line").cast("binary")).alias("_digest"))
+    asked = asked.select("line", F.inline_outer(probes)).withColumnRenamed("bits", "places")
+    met = asked.join(filters.select("slice", "block", "bits"), ["slice", "block"], "left")
+    inside = F.coalesce(F.col("bits").isNotNull() & F.forall("places", lambda at: _is_set(F.col("bits"), at)), F.lit(False))
+    return met.groupBy("line").agg(F.coalesce(F.bool_or(inside), F.lit(False)).alias("seen"))
+
+
+def scalable_unique(lines: DataFrame, filters: DataFrame, spec: ScalableSpec = ScalableSpec()) -> DataFrame:
+    """Lines no slice has seen, each once."""
+    return scalable_test(lines, filters, spec).where(~F.col("seen")).select("line")

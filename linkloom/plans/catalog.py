@@ -36,7 +36,8 @@ LABELS = {
 }
 KEYWORDS = ["api", ".json", "sub/", "https://cdn.example.net"]
 LINE_KEYWORDS = ["css", "[form]", "p/1"]
-BLOOM = D.BloomSpec()
+#: A small first slice, so that the series grows on the test tables too.
+BLOOM = D.ScalableSpec(capacity=100)
 START = "1995-01-01 00:00:00"
 BUDGET_SECONDS = 86400
 
@@ -273,17 +274,18 @@ def _history_lines(spark, sf_dir, *names: str) -> DataFrame:
 
 
 def bloom_seen(spark, sf_dir):
-    table = D.bloom_build(_history_lines(spark, sf_dir, "crawler-0"), BLOOM)
-    return D.bloom_test(_history_lines(spark, sf_dir), table, BLOOM)
+    filters = D.scalable_add(_history_lines(spark, sf_dir, "crawler-0"), spec=BLOOM)
+    return D.scalable_test(_history_lines(spark, sf_dir), filters, BLOOM)
 
 
 def bloom_persist(spark, sf_dir):
-    """Two runs' filters, stored, read back, merged, and asked for what is new."""
-    paths = [scratch_path(spark, "bloom") for _ in range(2)]
-    for path, name in zip(paths, ("crawler-1", "crawler-2")):
-        D.bloom_build(_history_lines(spark, sf_dir, name), BLOOM).write.parquet(path)
-    merged = D.bloom_merge(*[spark.read.parquet(p) for p in paths])
-    return D.bloom_unique(_history_lines(spark, sf_dir), merged, BLOOM)
+    """The filters of one run, stored, read by the next, extended, stored, and asked for what is new."""
+    filters = None
+    for name in ("crawler-1", "crawler-2"):
+        path = scratch_path(spark, "bloom")
+        D.scalable_add(_history_lines(spark, sf_dir, name), filters, BLOOM).write.parquet(path)
+        filters = spark.read.parquet(path)
+    return D.scalable_unique(_history_lines(spark, sf_dir), filters, BLOOM)
 
 
 def _page_seeds(pages: DataFrame) -> DataFrame:

@@ -218,26 +218,74 @@ DECIDED = (
 
 _SPEC = catalog.BLOOM
 _M = catalog.D.BLOCK_BITS
+_SLICES = 12
 
 
-def _bits(source: str) -> str:
-    """One row per line and bit of ``source(line)``."""
-    part = lambda at: f"('0x' || substr(md5(line), {at}, 12))::BIGINT"
+def _slices() -> str:
+    """Capacity, hashes and blocks of each slice of the growing filter."""
+    rows = []
+    for n in range(_SLICES):
+        own = _SPEC.slice(n)
+        rows.append(f"({n}, {own.capacity}, {own.hashes}, {own.blocks})")
+    return f"slices(slice, capacity, hashes, blocks) AS (VALUES {', '.join(rows)})"
+
+
+def _part(at: int) -> str:
+    return f"('0x' || substr(md5(line), {at}, 12))::BIGINT"
+
+
+def _filled(name: str, lines: str, held: str) -> str:
+    """CTEs for a run that adds ``lines``: name_placed(line, slice), by the room that ``held(slice, n)`` leaves."""
+    return (
+        f"{name}_new AS ({lines}), {name}_count AS (SELECT count(*) AS m FROM {name}_new), "
+        f"{name}_room AS (SELECT s.slice, greatest(0, capacity - coalesce(h.n, 0)) AS room FROM slices s LEFT JOIN ({held}) h ON h.slice = s.slice), "
+        f"{name}_below AS (SELECT slice, sum(room) OVER (ORDER BY slice) - room AS low, sum(room) OVER (ORDER BY slice) AS high FROM {name}_room), "
+        f"{name}_placed AS (SELECT line, slice FROM {name}_new, {name}_count, {name}_below "
+        f"WHERE {_part(7)} % m >= low AND {_part(7)} % m < high)"
+    )
+
+
+def _bits(source: str, every_slice: bool) -> str:
+    """One row per line, slice and bit of ``source``; of its own slice, or of all."""
+    join = "slices" if every_slice else "slices USING (slice)"
+    return (
+        f"SELECT line, slice, {_part(1)} % blocks AS block, "
+        f"({_part(13)} % {_M} + i * (({_part(21)} % {_M}) | 1)) % {_M} AS bit "
+        f"FROM {source} {', ' if every_slice else 'JOIN '}{join}, (SELECT unnest(range(40)) AS i) WHERE i < hashes"
+    )
+
+
+def _seen(name: str, source: str, filled: str) -> str:
+    """CTE name(line, seen): whether some slice has all bits of a line of ``source``."""
+    return (
+        f"{name} AS (SELECT line, bool_or(hit) AS seen FROM (SELECT q.line, q.slice, bool_and(f.bit IS NOT NULL) AS hit FROM "
+        f"({_bits(source, True)}) q LEFT JOIN (SELECT DISTINCT slice, block, bit FROM ({filled})) f "
+        "ON f.slice = q.slice AND f.block = q.block AND f.bit = q.bit GROUP BY q.line, q.slice) GROUP BY line)"
+    )
+
+
+def _history(name: str) -> str:
+    return f"SELECT DISTINCT url AS line FROM hist WHERE db_name = {quoted(name)}"
+
+
+_NOTHING = "SELECT 0 AS slice, 0 AS n WHERE false"
+
+
+def bloom_seen() -> str:
     return (
-        f"SELECT line, {part(1)} % {_SPEC.blocks} AS block, "
-        f"({part(13)} % {_M} + i * (({part(21)} % {_M}) | 1)) % {_M} AS bit "
-        f"FROM {source}, (SELECT unnest(range({_SPEC.hashes})) AS i)"
+        f"WITH {HIST}, {_slices()}, lines AS (SELECT DISTINCT url AS line FROM hist), "
+        f"{_filled('a', _history('crawler-0'), _NOTHING)}, {_seen('seen', 'lines', _bits('a_placed', False))} SELECT line, seen FROM seen"
     )
 
 
-def bloom(names: tuple[str, ...]) -> str:
-    inside = ", ".join(quoted(n) for n in names)
+def bloom_persist() -> str:
+    second = f"SELECT line FROM asked WHERE NOT seen AND line IN ({_history('crawler-2')})"
+    both = f"{_bits('a_placed', False)} UNION ALL {_bits('b_placed', False)}"
     return (
-        f"WITH {HIST}, lines AS (SELECT DISTINCT url AS line FROM hist), "
-        f"added AS (SELECT DISTINCT url AS line FROM hist WHERE db_name IN ({inside})), "
-        f"filled AS (SELECT DISTINCT block, bit FROM ({_bits('added')})), "
-        f"seen AS (SELECT q.line, bool_and(f.bit IS NOT NULL) AS seen FROM ({_bits('lines')}) q "
-        "LEFT JOIN filled f ON f.block = q.block AND f.bit = q.bit GROUP BY q.line)"
+        f"WITH {HIST}, {_slices()}, lines AS (SELECT DISTINCT url AS line FROM hist), {_filled('a', _history('crawler-1'), _NOTHING)}, "
+        f"{_seen('asked', 'lines', _bits('a_placed', False))}, "
+        f"{_filled('b', second, 'SELECT slice, count(*) AS n FROM a_placed GROUP BY slice')}, "
+        f"{_seen('seen', 'lines', both)} SELECT line FROM seen WHERE NOT seen"
     )
 
 
@@ -448,8 +496,8 @@ def sql() -> dict[str, str]:
         "SELECT db_name, url, ts FROM ranked WHERE n = 1",
         "history_domains": f"WITH {HIST} SELECT DISTINCT url, 'example_com' AS db_name FROM hist",
         "unique_lines": f"{links(FULL)} SELECT DISTINCT url AS line FROM found",
-        "bloom_seen": f"{bloom(('crawler-0',))} SELECT line, seen FROM seen",
-        "bloom_persist": f"{bloom(('crawler-1', 'crawler-2'))} SELECT line FROM seen WHERE NOT seen",
+        "bloom_seen": bloom_seen(),
+        "bloom_persist": bloom_persist(),
         "crawl_visited": f"{crawl(4)} SELECT seed, url, depth FROM walk UNION ALL SELECT url, url, 1 FROM pages",
         "crawl_depth": f"{_crawl_links(2)} SELECT seed, source, url, where_url, depth FROM linked",
         "crawl_multi": f"{_crawl_links(3, same_host=False)} SELECT DISTINCT '[' || source || '] ' || url AS line FROM linked",

@@ -15,6 +15,7 @@ from linkloom.operators import filters as FL
 from linkloom.operators import history as H
 from linkloom.operators import lookups as K
 from linkloom.operators.skew import salted_join
+from linkloom.session import cut_lineage
 from linkloom.sources import readers, sinks
 
 NOW = dt.datetime(2024, 1, 1)
@@ -114,6 +115,36 @@ def test_bloom(spark):
     assert D.bloom_unique(put.unionByName(put), empty, spec).count() == 2000
 
 
+@pytest.mark.parametrize("times", [10, 100])
+def test_growing_bloom_keeps_its_error_rate(spark, times):
+    """Far more lines than the first slice takes: the error rate holds, in one run and over several with stored filters."""
+    spec = D.ScalableSpec(capacity=200)
+    put = spark.range(200 * times).select(F.concat(F.lit("in"), "id").alias("line"))
+    other = spark.range(20_000).select(F.concat(F.lit("out"), "id").alias("line"))
+    once = cut_lineage(D.scalable_add(put.unionByName(put), spec=spec))
+    third = lambda i: put.where(F.pmod(F.xxhash64("line"), F.lit(3)) == i)
+    runs = None
+    for i in range(3):
+        runs = cut_lineage(D.scalable_add(third(i), runs, spec))
+    for filters in (once, runs):
+        assert D.scalable_test(put, filters, spec).where("not seen").count() == 0
+        assert D.scalable_test(other, filters, spec).where("seen").count() < 0.02 * 20_000
+        # a line taken for a repeat is not put in
+        assert 0.98 * 200 * times <= filters.agg(F.sum("lines")).first()[0] <= 200 * times
+        assert filters.select("slice").distinct().count() > 1
+    again = D.scalable_add(put, once, spec)
+    assert again.agg(F.sum("lines")).first()[0] == once.agg(F.sum("lines")).first()[0]
+
+
+def test_growing_bloom_edge_cases(spark):
+    none = words(spark, [], "line")
+    empty = D.scalable_add(none)
+    assert empty.count() == 0 and D.scalable_unique(words(spark, ["a", "a", "b"], "line"), empty).count() == 2
+    filters = D.scalable_add(words(spark, ["a", None, "a"], "line"), empty)
+    assert {tuple(r) for r in D.scalable_test(words(spark, ["a", "", None], "line"), filters).collect()} == {("a", True), ("", False), (None, False)}
+    assert [n for _, n in D.ScalableSpec(10, growth=2).shares({0: 10, 1: 5}, 100)] == [15, 40, 45]
+
+
 def test_bloom_large_capacity_has_many_blocks():
     assert D.BloomSpec(100_000_000).blocks == 29252
 
