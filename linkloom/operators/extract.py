@@ -273,11 +273,18 @@ def extract_links(
 ) -> DataFrame:
     """Labelled absolute links of ``pages(url, html)``: ``(source, url, where_url)``.
 
-    ``profile`` is ``core``, ``full``, ``exclusive`` or ``grouped``; ``rules`` adds
+    ``profile`` is ``core``, ``full``, ``exclusive`` or ``grouped``, or ``py`` for the links of
+    ``plain_links``, which takes ``keywords``, ``size_kb`` and ``distinct`` of the options; ``rules`` adds
     rules of your own. ``keywords`` keeps links whose raw form contains one of
     them. ``urls_only`` drops page metadata that is no URL. ``lineage`` adds
     ``raw``, ``follow`` and ``inside``; ``keep`` carries columns of ``pages`` over.
     """
+    if profile == "py":
+        if rules or data_labels or keep or lineage:
+            raise ValueError("the py profile takes no rules, labels, lineage or kept columns")
+        cut = pages.withColumn("html", T.truncate_body(F.col("html"), size_kb)) if size_kb >= 0 else pages
+        found = plain_links(cut, keywords=keywords)
+        return found.distinct() if distinct else found
     chosen = (*R.PROFILES[profile], *rules)
     if data_labels:
         chosen = (*chosen, R.DATA, R.CUSTOM_DATA)
@@ -347,9 +354,11 @@ def link_label(pages: DataFrame, label: str, **options) -> DataFrame:
     return links_by_rules(pages, R.by_label(label), **options)
 
 
-def plain_links(pages: DataFrame, depths: int | None = None) -> DataFrame:
+def plain_links(pages: DataFrame, depths: int | None = None, keywords: Sequence[str] | None = None) -> DataFrame:
     """Everything the plain profile finds, as a bag: ``(source, url, where_url)``.
 
+    ``keywords`` keeps links whose raw form contains one of them.
+
     Repeats are kept. With ``depths`` each row comes once per depth 0..depths and
     carries it, the way a run that writes one file per depth has it.
     """
@@ -358,6 +367,8 @@ def plain_links(pages: DataFrame, depths: int | None = None) -> DataFrame:
         pages, R.PLAIN, honor_base=False, raw_tags=fixed.RAW_TEXT_TAGS_PLAIN,
         in_page={"css_url": T.css_urls(html), "origin": T.origins_in_text(html), "http_run": T.http_urls_in_text(html)},
     )
+    if keywords:
+        found = found.where(keyword_predicate(F.col("raw"), keywords))
     base, link = Base.from_struct("base"), F.col("link")
     as_written = F.col("source").isin(R.PLAIN_THIRD_PARTY.label, "origin", "http_run")
     links = (

@@ -103,7 +103,57 @@ def sink_json(spark, sf_dir):
 def sink_filtered(spark, sf_dir):
     path = scratch_path(spark, "filtered")
     sinks.write_filtered(_core_lines(spark, sf_dir), LINE_KEYWORDS, path, keep_full=False)
-    return readers.read_lines(spark, f"{path}/filtered", "line")
+    return readers.read_filtered(spark, path, full=True)
+
+
+def sink_both(spark, sf_dir):
+    """The filtered lines and all lines, written at once."""
+    path = scratch_path(spark, "both")
+    sinks.write_filtered(_core_lines(spark, sf_dir), LINE_KEYWORDS, path)
+    kinds = (("filtered", False), ("full", True))
+    filtered, full = [readers.read_filtered(spark, path, full=f).withColumn("kind", F.lit(k)) for k, f in kinds]
+    return filtered.unionByName(full)
+
+
+def keywords_read(spark, sf_dir):
+    """A keyword list as text: blanks stay, an empty line is a keyword too."""
+    path = scratch_path(spark, "keywords")
+    P.keyword_lines(spark, sf_dir).write.text(path)
+    return readers.read_keywords(spark, path)
+
+
+def pages_read(spark, sf_dir):
+    """Captured pages from their table, with columns besides the body."""
+    return readers.read_pages(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", F.octet_length("html").cast("bigint").alias("octets"))
+
+
+def inside_path_full(spark, sf_dir):
+    """Inside-path over the full set: it holds for followed anchors, not for other elements with an address."""
+    links = E.extract_links(P.captured_pages(spark, sf_dir), "full", lineage=True)
+    seed = F.concat(F.lit("https://"), U.host_of(F.col("where_url")), F.lit("/p/"))
+    kept = links.where(~F.col("inside") | FL.inside_path(F.col("url"), seed))
+    return kept.select("source", "url", "where_url", "inside").distinct()
+
+
+def scope_host_extra(spark, sf_dir):
+    """Links on the page's own host or on one more."""
+    links = E.link_label(P.captured_pages(spark, sf_dir), "href")
+    return links.where(FL.in_scope_host(F.col("url"), U.host_of(F.col("where_url")), F.lit("example.org")))
+
+
+def link_anchor(spark, sf_dir):
+    """Followed anchors alone, without other elements that have an address."""
+    return E.links_by_rules(P.captured_pages(spark, sf_dir), (R.ANCHOR,))
+
+
+def absolute_url_encoded(spark, sf_dir):
+    """References resolved and percent-encoded."""
+    found = U.absolute_url(F.col("link"), F.col("base"), encode="path")
+    return P.references(spark, sf_dir).select("p_partkey", found.alias("url"))
+
+
+def alive_two_attempts(spark, sf_dir):
+    return L.alive_tolerant(P.fetch_log(spark, sf_dir), attempts=2)
 
 
 def sink_by_depth(spark, sf_dir):
@@ -374,6 +424,28 @@ def stream_unique(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def stream_bloom_unique(spark, sf_dir):
+    """Customer hosts of orders as they arrive, each passed on once as far as the filter can tell."""
+    lines = P.table(spark, sf_dir, "orders").select(F.concat(F.lit("https://c"), P.text(F.col("o_custkey")), F.lit(".example.com/")).alias("line"))
+    source = _stream_source(spark, lines)
+    out, filters = scratch_path(spark, "stream-lines"), scratch_path(spark, "stream-filters")
+    arriving = S.stream_pages(spark, source, "line string", max_files=2)
+    # an error rate at which no two of these lines are taken for each other, so that SQL can tell
+    spec = D.ScalableSpec(error_rate=1e-9, capacity=1000)
+    S.start_bloom_unique(arriving, filters, out, scratch_path(spark, "commits"), spec).awaitTermination()
+    return spark.read.parquet(out).select("line")
+
+
+def stream_unique_delay(spark, sf_dir):
+    """Event types of each user, repeats dropped within a delay longer than the table covers."""
+    events = P.table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    source, out = _stream_source(spark, events), scratch_path(spark, "stream-delay")
+    rows = S.stream_pages(spark, source, "user_id bigint, event_type string, ts timestamp")
+    unique = S.stream_unique(rows, ["user_id", "event_type"], event_time="ts", delay="36500 days")
+    S.start_parquet(unique, out, scratch_path(spark, "commits")).awaitTermination()
+    return spark.read.parquet(out).select("user_id", "event_type")
+
+
 def stream_history(spark, sf_dir):
     source = _stream_source(spark, _all_seeds(spark, sf_dir))
     out, history = scratch_path(spark, "stream-seeds"), scratch_path(spark, "stream-history")
@@ -399,17 +471,19 @@ def registered() -> dict[str, Query]:
         "extract_full": _extract_query("full"),
         "classify_exclusive": _extract_query("exclusive"),
         "classify_grouped": _extract_query("grouped"),
+        "extract_py": _extract_query("py"),
     }
     labels = {f"link_{name}": _link_query(label) for label, name in LABELS.items()}
     labels["link_custom_REGEX_element"] = _link_query(R.PAGE_TEXT, text_scope="element")
     others = (
-        seeds_valid, seeds_rejected, hosts_parsed, sink_lines, sink_json, sink_filtered, sink_by_depth,
+        seeds_valid, seeds_rejected, keywords_read, pages_read, hosts_parsed, sink_lines, sink_json, sink_filtered, sink_both,
+        sink_by_depth, link_anchor, inside_path_full, scope_host_extra, absolute_url_encoded, alive_two_attempts,
         host_of, main_domain, seed_domain, absolute_url, absolute_url_base, parse_headers, truncate_body,
         render_line, render_json, is_textual, gate_textual, py_third_party, py_links, py_depths,
         kw_filter, kw_filter_line, inside_path, scope_host, scope_subs, scope_host_list, kw_matches,
         kw_filter_table, seeds_unprocessed, history_append, history_merge, history_domains, unique_lines,
         bloom_seen, bloom_persist, crawl_visited, crawl_depth, crawl_multi, crawl_resume, alive_strict,
-        alive_tolerant, retry_backoff, seed_status, within_budget, stream_extract, stream_unique, stream_history,
+        alive_tolerant, retry_backoff, seed_status, within_budget, stream_extract, stream_unique, stream_bloom_unique, stream_unique_delay, stream_history,
     )
     return {
         "html_elements": elements, **labels, **profiles, **plain, **texts,

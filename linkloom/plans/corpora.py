@@ -112,6 +112,13 @@ def seed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(seed.alias("seed"))
 
 
+def keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(keyword)``: keyword lines with blanks around, and empty ones, from suppliers."""
+    s = text(F.col("s_suppkey"))
+    word = pick(F.col("s_suppkey"), F.concat(F.lit(" k"), s, F.lit(" ")), "", F.concat(F.lit("/K"), s))
+    return table(spark, sf_dir, "supplier").select(word.alias("keyword"))
+
+
 def url_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(url)``: page URLs and seed lines."""
     return (

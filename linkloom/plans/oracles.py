@@ -121,7 +121,6 @@ PAGE_ANCHORS = (
     "unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS h FROM pages)"
 )
 
-
 def links(labels: dict[str, list[tuple[str, str]]], page_labels: tuple[str, ...] = ("href",)) -> str:
     """CTEs that end in ``found(source, url, raw, where_url)``, repeats included."""
     parts = [
@@ -412,6 +411,7 @@ def sql() -> dict[str, str]:
         "o_orderkey", "'https://c' || o_custkey || '.example.com/a'", "'https://www.c' || o_custkey || '.example.com'",
         "'https://xc' || o_custkey || '.example.com/'", "'https://z.example.net/?u=//c' || o_custkey || '.example.com.evil'",
     )
+    keyword_line = pick("s_suppkey", "' k' || s_suppkey || ' '", "''", "'/K' || s_suppkey")
     keywords = "kw AS (SELECT DISTINCT " + pick(
         "s_suppkey", "s_suppkey || '.'", "'/' || s_suppkey || '?'", "'api.example.com/v/' || s_suppkey"
     ) + " AS keyword FROM supplier)"
@@ -458,6 +458,20 @@ def sql() -> dict[str, str]:
         "sink_lines": f"{core_lines} SELECT line FROM lines",
         "sink_json": f"{core_json} SELECT line FROM lines",
         "sink_filtered": f"{core_lines} SELECT line FROM lines WHERE {kw_line}",
+        "sink_both": f"{core_lines} SELECT line, 'filtered' AS kind FROM lines WHERE {kw_line} UNION ALL SELECT line, 'full' FROM lines",
+        "keywords_read": f"SELECT {keyword_line} AS keyword FROM supplier",
+        "pages_read": "SELECT page_id, url, strlen(html)::BIGINT AS octets FROM pages",
+        "link_anchor": distinct_links({"href": CORE["href"]}),
+        # only anchors have an empty address
+        "inside_path_full": f"SELECT DISTINCT source, url, where_url, false AS inside FROM ({links(FULL)} SELECT * FROM found) "
+        "WHERE NOT (source = 'href' AND raw = '') UNION SELECT DISTINCT source, url, where_url, true "
+        f"FROM ({links({'href': CORE['href']})} SELECT * FROM found) WHERE contains(url, {seed_of})",
+        "scope_host_extra": distinct_links(
+            {"href": FULL["href"]}, where=f"coalesce({host_of_url} = {host_of_where}, false) OR coalesce({host_of_url} = 'example.org', false)"
+        ),
+        "absolute_url_encoded": f"SELECT p_partkey, replace(replace({rfc}, 'é', '%C3%A9'), 'ü', '%C3%BC') AS url FROM part",
+        "alive_two_attempts": f"WITH {LOG}, {DECIDED.replace(f'attempt <= {fixed.DEFAULT_ATTEMPTS}', 'attempt <= 2')} SELECT url, alive FROM tolerant",
+        "extract_py": f"{plain()} SELECT DISTINCT source, url, where_url FROM found",
         "sink_by_depth": f"{plain()} SELECT url AS line, replace(regexp_extract(where_url, '//([^/]*)', 1), ':', '_') AS domain, depth "
         "FROM found, (SELECT unnest(range(2)) AS depth)",
         "host_of": f"WITH {URLS} SELECT url, {host_of_url} AS host FROM urls",
@@ -514,5 +528,7 @@ def sql() -> dict[str, str]:
         f"min(ts) OVER (PARTITION BY user_id) AS start FROM events) SELECT seed, event_id FROM s WHERE ts <= start + INTERVAL {catalog.BUDGET_SECONDS} SECOND",
         "stream_extract": distinct_links(CORE),
         "stream_unique": f"{links(CORE)} SELECT DISTINCT url AS line FROM found",
+        "stream_bloom_unique": "SELECT DISTINCT 'https://c' || o_custkey || '.example.com/' AS line FROM orders",
+        "stream_unique_delay": "SELECT DISTINCT user_id, event_type FROM events",
         "stream_history": f"WITH {HIST} SELECT DISTINCT url AS seed FROM hist",
     }

@@ -47,6 +47,12 @@ def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path, "keyword")
 
 
+def read_filtered(spark: SparkSession, path: str, full: bool = False) -> DataFrame:
+    """Lines that ``write_filtered`` wrote: those with a keyword, or all of them."""
+    rows = spark.read.schema("line string, matched boolean").text(path)
+    return (rows if full else rows.where("matched")).select("line")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even out a table that comes in far fewer splits than there are cores, as
     one unsplittable file does. A table large enough to fill the cluster is left

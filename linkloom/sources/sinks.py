@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.render import render_json, render_line
 from linkloom.functions.urls import seed_domain
 from linkloom.operators import history as hist
-from linkloom.operators.filters import keyword_filter
+from linkloom.operators.filters import keyword_filter, keyword_predicate
 
 
 def with_line(links: DataFrame, show_source: bool = False, show_where: bool = False) -> DataFrame:
@@ -51,10 +51,14 @@ def write_by_depth(links: DataFrame, path: str, mode: str = "append") -> None:
 def write_filtered(
     lines: DataFrame, keywords: Sequence[str], path: str, keep_full: bool = True, mode: str = "overwrite"
 ) -> None:
-    """The lines that contain a keyword, and all lines beside them if wanted."""
-    keyword_filter(lines, keywords, "line").select("line").write.mode(mode).text(f"{path}/filtered")
-    if keep_full:
-        lines.select("line").write.mode(mode).text(f"{path}/full")
+    """The lines that contain a keyword, and the others beside them if wanted.
+
+    One write, with the test as a partition: ``matched=true`` and ``matched=false`` below ``path``, so
+    what makes the lines runs once. ``readers.read_filtered`` gives either set.
+    """
+    matched = F.coalesce(keyword_predicate(F.col("line"), keywords), F.lit(False))
+    rows = lines.select("line", matched.alias("matched"))
+    (rows if keep_full else rows.where("matched")).write.mode(mode).partitionBy("matched").text(path)
 
 
 def append_history(history: DataFrame, new: DataFrame, path: str) -> None:

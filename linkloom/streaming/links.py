@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from linkloom.operators import history as hist
+from linkloom.operators.dedupe import SCALABLE_SCHEMA, ScalableSpec, scalable_add, scalable_unique, unique_lines
 from linkloom.operators.extract import extract_links
-from linkloom.operators.lookups import unprocessed_seeds
-from linkloom.sources.readers import HISTORY_SCHEMA, PAGE_SCHEMA, read_history
+from linkloom.sources.readers import HISTORY_SCHEMA, PAGE_SCHEMA
 
 
 def stream_pages(spark: SparkSession, path: str, schema: str = PAGE_SCHEMA, max_files: int | None = None) -> DataFrame:
@@ -50,30 +50,86 @@ def start_parquet(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     )
 
 
-def start_history(seeds: DataFrame, history_path: str, new_path: str, checkpoint: str) -> StreamingQuery:
+def start_history(
+    seeds: DataFrame, history_path: str, new_path: str, checkpoint: str, earlier: DataFrame | None = None
+) -> StreamingQuery:
     """Pass on seeds never seen before, in this run or an earlier one.
 
-    Each batch is compared with the history of the batches before it and then
-    recorded under its own number. A batch that runs again after a failure
-    replaces what it wrote and gives the same result. The numbers go on across
-    restarts, as the checkpoint keeps them.
+    Which seeds the stream has had is keyed state (use the RocksDB store), kept in the
+    checkpoint across batches and restarts, so a batch reads nothing that batches before it
+    wrote and costs the same however many there were. ``earlier`` is a history ``(url, source, ts)`` from
+    before the stream's first start; it must not change. Each batch is recorded under its
+    own number: one that runs again after a failure replaces what it wrote.
     """
+    fresh = seeds.select("seed").where(F.col("seed").isNotNull())
+    if earlier is not None:
+        fresh = fresh.join(earlier.select(F.col("url").alias("seed")).distinct(), "seed", "left_anti")
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        earlier = read_history(spark, history_path, f"{HISTORY_SCHEMA}, batch bigint").where(
-            F.col("batch") < number
-        )
         recorded = f"{history_path}/batch={number}"
-        fresh = unprocessed_seeds(batch.select("seed"), earlier)
-        hist.new_entries(fresh).write.mode("overwrite").parquet(recorded)
-        spark.read.schema(HISTORY_SCHEMA).parquet(recorded).select(F.col("url").alias("seed")).write.mode(
-            "overwrite"
-        ).parquet(f"{new_path}/batch={number}")
+        hist.new_entries(batch).write.mode("overwrite").parquet(recorded)
+        rows = batch.sparkSession.read.schema(HISTORY_SCHEMA).parquet(recorded)
+        rows.select(F.col("url").alias("seed")).write.mode("overwrite").parquet(f"{new_path}/batch={number}")
+
+    return (
+        fresh.dropDuplicates(["seed"]).writeStream.foreachBatch(each)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def start_bloom_unique(
+    lines: DataFrame, filter_path: str, new_path: str, checkpoint: str, spec: ScalableSpec = ScalableSpec()
+) -> StreamingQuery:
+    """Lines that a growing Bloom filter has not seen, in this run or an earlier one.
+
+    The approximate form of ``stream_unique``: the state is some ten bits a line in place of
+    the line. A batch reads the filters as the batch before it left them, and writes its own version
+    and its new lines under its number, so a batch that runs again starts from the same and
+    replaces what it wrote. Only the last two versions are kept: the size of the state is that of the
+    filters. A line taken for a repeat, at the error rate of ``spec``, is left out.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        held = [n for n in _versions(spark, filter_path) if n < number]
+        earlier = spark.read.schema(SCALABLE_SCHEMA).parquet(_version(filter_path, max(held))) if held else None
+        now = unique_lines(batch.select("line").where(F.col("line").isNotNull()))
+        fresh = now if earlier is None else scalable_unique(now, earlier, spec)
+        fresh.write.mode("overwrite").parquet(f"{new_path}/batch={number}")
+        added = spark.read.schema("line string").parquet(f"{new_path}/batch={number}")
+        scalable_add(added, earlier, spec).write.mode("overwrite").parquet(_version(filter_path, number))
+        for old in sorted(held)[:-1]:
+            _delete(spark, _version(filter_path, old))
 
     return (
-        seeds.writeStream.foreachBatch(each)
+        lines.select("line").writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _version(path: str, number: int) -> str:
+    return f"{path}/version-{number}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions in a folder."""
+    files, folder = _file_system(spark, path)
+    if not files.exists(folder):
+        return []
+    found = [s.getPath() for s in files.listStatus(folder)]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return [int(p.getName().removeprefix("version-")) for p in found if p.getName().startswith("version-") and files.exists(done(p, "_SUCCESS"))]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, folder = _file_system(spark, path)
+    files.delete(folder, True)

@@ -296,8 +296,10 @@ def test_text_sources_and_sinks(spark, tmp_path):
     sinks.write_lines(lines, out, mode="overwrite")
     assert readers.read_lines(spark, out, "line").count() == 2
     sinks.write_filtered(lines, ["css"], str(tmp_path / "both"))
-    assert spark.read.text(str(tmp_path / "both/full")).count() == 2
-    assert spark.read.text(str(tmp_path / "both/filtered")).collect() == [("[css] http://b/2",)]
+    assert readers.read_filtered(spark, str(tmp_path / "both"), full=True).count() == 2
+    assert readers.read_filtered(spark, str(tmp_path / "both")).collect() == [("[css] http://b/2",)]
+    sinks.write_filtered(lines, ["css"], str(tmp_path / "both"), keep_full=False)
+    assert readers.read_filtered(spark, str(tmp_path / "both"), full=True).collect() == [("[css] http://b/2",)]
     sinks.write_by_depth(links.withColumn("depth", F.lit(1)), str(tmp_path / "depth"))
     assert (tmp_path / "depth/domain=w_8/depth=1").is_dir()
 
