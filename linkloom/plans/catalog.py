@@ -19,7 +19,7 @@ from linkloom.operators import rules as R
 from linkloom.operators.elements import html_elements
 from linkloom.plans import corpora as P
 from linkloom.session import scratch_path
-from linkloom.sources import readers, sinks
+from linkloom.sources import buckets, readers, sinks
 from linkloom.streaming import links as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,7 @@ KEYWORDS = ["api", ".json", "sub/", "https://cdn.example.net"]
 LINE_KEYWORDS = ["css", "[form]", "p/1"]
 #: A small first slice, so that the series grows on the test tables too.
 BLOOM = D.ScalableSpec(capacity=100)
+HISTORY_BUCKETS = 8
 START = "1995-01-01 00:00:00"
 BUDGET_SECONDS = 86400
 
@@ -292,7 +293,15 @@ def seeds_unprocessed(spark, sf_dir):
 
 
 def history_append(spark, sf_dir):
-    """Append to a stored history and read it back."""
+    """Append to a stored history twice and read it back."""
+    path = scratch_path(spark, "history")
+    buckets.append_bucketed(spark, _main_history(spark, sf_dir), path, HISTORY_BUCKETS)
+    buckets.append_bucketed(spark, P.histories(spark, sf_dir).select("url", "source", "ts"), path, HISTORY_BUCKETS)
+    return buckets.bucketed_history(spark, path, HISTORY_BUCKETS).select("url", "ts")
+
+
+def history_append_files(spark, sf_dir):
+    """The same on a history of plain files."""
     path = scratch_path(spark, "history")
     _main_history(spark, sf_dir).write.parquet(path)
     later = P.histories(spark, sf_dir).select("url", "source", "ts")
@@ -481,7 +490,7 @@ def registered() -> dict[str, Query]:
         host_of, main_domain, seed_domain, absolute_url, absolute_url_base, parse_headers, truncate_body,
         render_line, render_json, is_textual, gate_textual, py_third_party, py_links, py_depths,
         kw_filter, kw_filter_line, inside_path, scope_host, scope_subs, scope_host_list, kw_matches,
-        kw_filter_table, seeds_unprocessed, history_append, history_merge, history_domains, unique_lines,
+        kw_filter_table, seeds_unprocessed, history_append, history_append_files, history_merge, history_domains, unique_lines,
         bloom_seen, bloom_persist, crawl_visited, crawl_depth, crawl_multi, crawl_resume, alive_strict,
         alive_tolerant, retry_backoff, seed_status, within_budget, stream_extract, stream_unique, stream_bloom_unique, stream_unique_delay, stream_history,
     )

@@ -506,6 +506,8 @@ def sql() -> dict[str, str]:
         "seeds_unprocessed": f"WITH {HIST} SELECT DISTINCT url AS seed FROM hist WHERE url NOT IN (SELECT url FROM main)",
         "history_append": f"WITH {HIST} SELECT url, ts FROM main UNION ALL SELECT url, min(ts) AS ts FROM hist "
         "WHERE url NOT IN (SELECT url FROM main) GROUP BY url",
+        "history_append_files": f"WITH {HIST} SELECT url, ts FROM main UNION ALL SELECT url, min(ts) AS ts FROM hist "
+        "WHERE url NOT IN (SELECT url FROM main) GROUP BY url",
         "history_merge": f"WITH {HIST}, ranked AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY db_name) AS n FROM hist) "
         "SELECT db_name, url, ts FROM ranked WHERE n = 1",
         "history_domains": f"WITH {HIST} SELECT DISTINCT url, 'example_com' AS db_name FROM hist",

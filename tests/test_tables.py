@@ -16,7 +16,7 @@ from linkloom.operators import history as H
 from linkloom.operators import lookups as K
 from linkloom.operators.skew import salted_join
 from linkloom.session import cut_lineage
-from linkloom.sources import readers, sinks
+from linkloom.sources import buckets, readers, sinks
 
 NOW = dt.datetime(2024, 1, 1)
 
@@ -161,6 +161,33 @@ def test_history(spark, tmp_path):
     assert K.unprocessed_seeds(seeds.union(words(spark, ["u9", "u9"], "seed")), readers.read_history(spark, path)).collect() == [("u9",)]
 
 
+def test_bucketed_history(spark, tmp_path):
+    path = str(tmp_path / "it's a history")
+    assert buckets.bucketed_history(spark, path, 4).count() == 0
+    urls = [(f"u{i}", None, NOW) for i in range(200)] + [("u1", "s", NOW - dt.timedelta(1)), (None, "s", NOW)]
+    buckets.append_bucketed(spark, frame(spark, urls, readers.HISTORY_SCHEMA), path, 4)
+    later = [(f"u{i}", "late", NOW + dt.timedelta(1)) for i in range(100, 300)]
+    buckets.append_bucketed(spark, frame(spark, later, readers.HISTORY_SCHEMA), path, 4)
+    rows = buckets.bucketed_history(spark, path, 4)
+    got = {r["url"]: (r["source"], r["ts"]) for r in rows.collect()}
+    assert rows.count() == len(got) == 301 and got["u1"] == ("s", NOW - dt.timedelta(1))
+    assert got["u150"][0] is None and got["u250"][0] == "late"
+    # what is stored is met in place, also where the session would use more partitions
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("-1", "32")):
+            spark.conf.set(n, v)
+        missing = buckets.missing_from(rows, frame(spark, later, readers.HISTORY_SCHEMA), 4)
+        plan = missing._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert "LeftOuter" in plan and "Bucketed: true" in plan
+    new, stored = plan.split("Scan ExistingRDD")
+    assert "Exchange" in new and "Exchange" not in stored and "FileScan parquet" in stored, plan
+
+
 def test_merge_order_does_not_matter(spark):
     rows = [("b", "u", "x", NOW), ("main", "u", "y", NOW), ("a", "v", "p", NOW), ("b", "v", "q", NOW)]
     want = {("main", "u", "y"), ("a", "v", "p")}
