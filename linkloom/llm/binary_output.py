@@ -20,7 +20,7 @@ and written in order, one stream through each task. The starts of documents are
 over the ranges before, one row per range. Reading goes file by file.
 
 Defined results: a null text is an empty one. Each row is a document, also when ids
-repeat; equal ids are ordered by a hash of the text. A null id comes first. Equal rows
+repeat; ids of any type that has an order stay as they are; equal ids are ordered by a hash of the text. A null id comes first. Equal rows
 are interchangeable. Every document ends with the end id. Special strings inside a text
 are handled as the library does by default. Texts of any length are encoded whole. An
 empty table gives no blocks.
@@ -31,10 +31,10 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +46,18 @@ BLOCK_IDS = 1 << 16
 STRIDE = 1 << 10
 #: Parts of texts a worker remembers.
 REMEMBERED = 1_000_000
+#: New parts that are given to the library as one text.
+TOGETHER = 1024
+#: White space that may hide how pieces are cut: any but single blanks and line breaks inside the text.
+_UNEVEN = (
+    r"[ \n][ \n]|^[ \n]|[ \n]$|"
+    r"[\t\x0B\x0C\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
 #: Fields of a word and bits of a field for the selectors 2 to 15; 0 and 1 are 240 and 120 zeros.
 FIELDS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 BLOCK_SCHEMA = (
-    "range int, block int, ids array<long>, hashes array<long>, lengths array<int>, n long, "
+    "range int, block int, ids array<{kind}>, hashes array<long>, lengths array<int>, n long, "
     "table binary, words binary, offsets binary, escapes binary"
 )
 
@@ -163,8 +170,9 @@ class ByteEncoder:
     The library first cuts a text into pieces. A blank between two characters that are
     not white space always begins a piece, and a line break there is a piece of its own,
     so a text may be cut before them and its parts encoded apart. A worker keeps the ids
-    of parts it has met. Texts with other white space, with runs of it, or with a special
-    string go to the library whole.
+    of parts it has met; new ones are encoded many at a time as one text, whose ids are cut
+    again before every id that begins with a blank or is a line break. Texts with other white
+    space, with runs of it, or with a special string go to the library whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -175,11 +183,29 @@ class ByteEncoder:
 
         self.library = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        blank, line = (self.library.encode(c, add_special_tokens=False).tokens for c in " \n")
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, number in vocabulary.items():
+            self.begins[number] = len(blank) == 1 and (token.startswith(blank[0]) or [token] == line)
         self.seen = Remembered(self._ids, REMEMBERED)
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         # a part that begins a line brings its line break; the others have lost a blank
         given = [p if p[:1] == "\n" else f" {p}" for p in parts]
+        groups = [given[k : k + TOGETHER] for k in range(0, len(given), TOGETHER)]
+        found: list[bytes] = []
+        for group, e in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.begins[ids])).tolist()
+            if len(cuts) == len(group) and cuts[:1] == [0]:
+                raw = ids.tobytes()
+                found += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+            else:
+                found += self._apart(group)
+        return found
+
+    def _apart(self, given: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(given, add_special_tokens=False)]
 
     def _whole(self, text: str) -> bytes:
@@ -188,15 +214,32 @@ class ByteEncoder:
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Little-endian 32-bit ids with the end id."""
         end = np.array([end_id], "<u4").tobytes()
-        whole = [" ".join(t.split()) != t.replace("\n", " ") or any(s in t for s in self.special) for t in texts]
-        parts = [[] if w or not t else t.replace("\n", " \n").split(" ") for t, w in zip(texts, whole, strict=True)]
+        column = pa.array(texts, pa.large_string())
+        whole = pc.or_(pc.match_substring_regex(column, _UNEVEN), pc.equal(column, ""))
+        for special in self.special:
+            whole = pc.or_(whole, pc.match_substring(column, special))
+        pieces = pc.split_pattern(pc.replace_substring(column.filter(pc.invert(whole)), "\n", " \n"), " ")
+        cut = iter(self._joined(pieces) if len(pieces) else ())
+        return [(self._whole(t) if w else next(cut)) + end for t, w in zip(texts, whole.to_pylist(), strict=True)]
+
+    def _joined(self, pieces: pa.ListArray) -> list[bytes]:
+        """The ids of texts that are given as lists of their parts, none of them empty."""
+        coded = pieces.flatten().dictionary_encode()
+        names, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        bounds = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         # the first part of a text has no blank before it
-        first = [self._whole(own.pop(0)) if own else b"" for own in parts]
-        get = self.seen.group(list(chain.from_iterable(parts))).__getitem__
-        return [
-            (self._whole(t) if w else head + b"".join(map(get, own))) + end
-            for t, w, head, own in zip(texts, whole, first, parts, strict=True)
-        ]
+        first = [names[k] for k in index[bounds[:-1]]]
+        index[bounds[:-1]] = np.arange(len(names), len(names) + len(first))
+        get = self.seen.group(names).__getitem__
+        values = [*map(get, names), *self._apart(first)]
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        start = np.cumsum(size) - size
+        each = size[index]
+        ends = np.cumsum(each)
+        ids = np.frombuffer(b"".join(values), "<u4")
+        raw = ids[np.repeat(start[index] - (ends - each), each) + np.arange(ends[-1])].tobytes()
+        stops = [0, *(4 * ends[bounds[1:] - 1]).tolist()]
+        return [raw[i:j] for i, j in zip(stops[:-1], stops[1:], strict=True)]
 
 
 def write_ids(
@@ -216,7 +259,8 @@ def write_ids(
     ready_for_python(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    kind = given.schema["doc_id"].dataType.simpleString()
     ordered = given.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.col("h")
     )
@@ -226,27 +270,28 @@ def write_ids(
         for batch in batches:
             encoder = encoder or once(("bytes", tokenizer_file), lambda: ByteEncoder(tokenizer_file))
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "h", "range")]
-            for k in range(0, len(batch), 64):
-                texts = batch.column("text").slice(k, 64).to_pylist()
+            id_type = batch.column("doc_id").type
+            for k in range(0, len(batch), 256):
+                texts = batch.column("text").slice(k, 256).to_pylist()
                 for j, ids in enumerate(encoder.encode(texts, end_id)):
                     held.append((*(c[k + j] for c in columns), ids))
                     size += len(ids)
                     if size >= 4 * BLOCK_IDS:
-                        yield _block(held, number)
+                        yield _block(held, number, id_type)
                         held, size, number = [], 0, number + 1
         if held:
-            yield _block(held, number)
+            yield _block(held, number, id_type)
 
-    ordered.withColumn("range", F.spark_partition_id()).mapInArrow(encode, BLOCK_SCHEMA).write.parquet(out_dir)
+    ordered.withColumn("range", F.spark_partition_id()).mapInArrow(encode, BLOCK_SCHEMA.format(kind=kind)).write.parquet(out_dir)
 
 
-def _block(held: list[tuple], number: int) -> pa.RecordBatch:
+def _block(held: list[tuple], number: int, id_type: pa.DataType) -> pa.RecordBatch:
     ids = np.frombuffer(b"".join(x[3] for x in held), "<u4")
     coded = encode_block(ids)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([held[0][2]], pa.int32()), pa.array([number], pa.int32()),
-            pa.array([[x[0] for x in held]], pa.list_(pa.int64())), pa.array([[x[1] for x in held]], pa.list_(pa.int64())),
+            pa.array([[x[0] for x in held]], pa.list_(id_type)), pa.array([[x[1] for x in held]], pa.list_(pa.int64())),
             pa.array([[len(x[3]) // 4 for x in held]], pa.list_(pa.int32())), pa.array([len(ids)], pa.int64()),
             *(pa.array([coded[c]], pa.binary()) for c in ("table", "words", "offsets", "escapes")),
         ],
@@ -281,13 +326,14 @@ def read_ids(spark: SparkSession, out_dir: str, with_ids: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([blob("range")] * len(parts), pa.int32()), pa.array([blob("block")] * len(parts), pa.int32()),
-                        pa.array(blob("ids"), pa.int64()), pa.array(ends - lengths), pa.array(lengths),
+                        batch.column("ids")[k].values, pa.array(ends - lengths), pa.array(lengths),
                         pa.array([zlib.crc32(p) for p in parts], pa.int64()), *([pa.array(parts, pa.binary())] if with_ids else []),
                     ],
                     ["range", "block", "doc_id", "at", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])],
                 )
 
-    fields = [("range", "int"), ("block", "int"), ("doc_id", "long"), ("at", "long"), ("n_tokens", "long"), ("ids_crc32", "long")]
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    fields = [("range", "int"), ("block", "int"), ("doc_id", kind), ("at", "long"), ("n_tokens", "long"), ("ids_crc32", "long")]
     fields += [("ids", "binary")] if with_ids else []
     rows = blocks.drop("hashes").mapInArrow(decode, ", ".join(f"{n} {t}" for n, t in fields))
     placed = rows.join(starts, (F.col("range") == F.col("r")) & (F.col("block") == F.col("b")))
