@@ -197,11 +197,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2.0 * per_language + 50) / n))).otherwise(share)
     near = d.where(F.shiftrightunsigned("order", 11) / F.lit(float(1 << 53)) <= share)
     vectors = near.select(F.lower("text").alias("text"), "lang", "order").mapInArrow(_vectors, "lang string, order long, vector binary")
-    kept: dict[str, list] = {}
-    for r in vectors.toLocalIterator():
-        kept.setdefault(r["lang"], []).append((r["order"], bytes(r["vector"])))
-    rows = [(lang, v) for lang in sorted(kept) for _, v in sorted(kept.pop(lang))[:per_language]]
-    x = np.frombuffer(b"".join(v for _, v in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+    # vectors lie in one growing block, which goes back to the system whole
+    data, place = bytearray(), {}
+    for k, r in enumerate(vectors.toLocalIterator()):
+        place.setdefault(r["lang"], []).append((r["order"], k))
+        data += r["vector"]
+    if not place:
+        return LanguageModel([], np.empty((0, 0)), np.empty(0), [])
+    rows = [(lang, k) for lang in sorted(place) for _, k in sorted(place[lang])[:per_language]]
+    total = sum(map(len, place.values()))
+    x = np.frombuffer(data, np.float16).reshape(total, -1)[[k for _, k in rows]].astype(np.float32)
+    del data
     return fit(x, [lang for lang, _ in rows])
 
 
