@@ -24,7 +24,8 @@ string of common templates, which can be undone.
 Defined results: a null text or role is empty. Repeated rows are turns of their own; ties
 of turn are ordered by role and text. A null conversation id is a conversation, a null turn
 comes first. Messages whose parent is missing are roots; rings of parents, which no
-root reaches, are left out. An empty table gives an empty result. Other columns are not
+root reaches, are left out with all that answers them: a round of doubling closes a message
+wherever one can be closed, so the rounds end with the first that closes none. An empty table gives an empty result. Other columns are not
 read.
 """
 
@@ -47,7 +48,6 @@ _CONTROL = "|".join(re.escape(c[1:]) for c in CONTROL)
 _HEADS = r"([<\[])(?=" + _CONTROL + ")"
 _ESCAPED = re.compile(r"\\(.)", re.S)
 LEARNED = "assistant"
-ROUNDS = 64
 
 
 def escaped(text: Column) -> Column:
@@ -99,7 +99,9 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
         "tree", "message", F.col("p").alias("up"), "score"
     )
     ups = [cut_lineage(real.select("tree", "message", "up", F.lit(1).cast("long").alias("n"), F.col("score").alias("sum")))]
-    while len(ups) < ROUNDS and not ups[-1].where("up is not null").isEmpty():
+    # messages that are open after a round that closed none come from a ring
+    closed, still_open = -1, ups[0].where("up is not null").count()
+    while still_open and closed:
         now = ups[-1]
         above = now.select(F.col("message").alias("m"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("sum").alias("sum2"))
         ups.append(
@@ -110,6 +112,8 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
                 )
             )
         )
+        before, still_open = still_open, ups[-1].where("up is not null").count()
+        closed = before - still_open
     leaves = ups[-1].where("up is null").join(parents, F.col("message") == F.col("p"), "left_anti")
     ranked = Window.partitionBy("tree").orderBy((F.col("sum") / F.col("n")).desc(), F.col("message"))
     chosen = leaves.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= keep)
@@ -142,9 +146,11 @@ def read_back(turns: DataFrame) -> DataFrame:
     """tree, path, n_turns, digests and lengths of each conversation, from its formatted turns alone."""
     ready_for_python(turns.sparkSession)
     kind = turns.schema["tree"].dataType.simpleString()
+    fields = [("path", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64())]
+    fields += [("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, done = None, []
+        now, done, schema = None, [], None
 
         def result(s: dict) -> dict:
             return {
@@ -153,6 +159,7 @@ def read_back(turns: DataFrame) -> DataFrame:
             }
 
         for batch in batches:
+            schema = schema or pa.schema([("tree", batch.column("tree").type), *fields])
             for row in batch.to_pylist():
                 if now is None or now["path"] != row["path"]:
                     if now is not None:
@@ -173,9 +180,6 @@ def read_back(turns: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_pylist([result(now)], schema)
 
-    tree_kind = pa.string() if kind == "string" else pa.int64()
-    fields = [("tree", tree_kind), ("path", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64())]
-    schema = pa.schema([*fields, ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     dealt = turns.repartition("path").sortWithinPartitions("path", "place")
     return dealt.mapInArrow(
         read, f"tree {kind}, path long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
