@@ -11,7 +11,9 @@ counted, whole and node by node. A slot that has the same text in nearly all of
 that varies, if nearly all of these pages have it there. The rest is content. What
 remains is cut by what the markup says itself: menus,
 page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments vary between pages too, but are not the article.
+comments vary between pages too, but are not the article. Tags say it, and whole names in
+class, id or role; names on the page's own elements, paragraphs and headings say nothing,
+nor do those around a main element.
 
 How it runs: pages stay where they are; the first pass sends narrow rows (slot and hash
 of a text) to an aggregate with map-side reduction, so a host with
@@ -65,13 +67,16 @@ HOLDERS = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "select
 NEVER = RAW | set(
     "head nav footer aside form noscript template svg math object audio video canvas button select input menu dialog map".split()
 )
-#: Names in class, id or role of what is not the article.
+#: Whole names in class, id or role of what is not the article.
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|cookies?|consent|gdpr|notices?|alert|pop-?up|modal|"
+    r"(?:^|\s)(?:(?:site|page|main|post|left|right|top|bottom|cookie|reader)[_-]?)?(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|cookies?|consent|gdpr|notices?|alert|pop-?up|modal|"
     r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|comments?|comment-?list|disqus|reply|replies|respond|share|sharing|"
-    r"social|related|recommended|newsletter|subscribe|footer|masthead|toolbar|widget|search|contentinfo|complementary|dialog)(?:$|[\s_-])",
+    r"social|related|recommended|newsletter|subscribe|footer|masthead|toolbar|widget|search|contentinfo|complementary|dialog)"
+    r"(?:[_-](?:ads?|area|banner|bar|block|box|container|content|form|inner|links?|list|menu|nav|notice|outer|section|wrap|wrapper))*(?=$|\s)",
     re.I,
 )
+#: Elements that are the page or a piece of its text; their names do not say what they are.
+UNNAMED = set("html body main article p h1 h2 h3 h4 h5 h6".split())
 
 
 class Slot:
@@ -96,8 +101,8 @@ def _hash(text: str) -> int:
 def parse(html: str | None) -> tuple[Slot, list[tuple[str, Slot, bool, bool]]]:
     """The slots of a page and its blocks: (text, slot, dropped by markup, inside an article)."""
     root = Slot(0)
-    # (tag, slot, dropped, in article)
-    stack: list[tuple[str, Slot, bool, bool]] = [("", root, False, False)]
+    # (tag, slot, dropped by tag, dropped by name, in article)
+    stack: list[tuple[str, Slot, bool, bool, bool]] = [("", root, False, False, False)]
     blocks: list[tuple[str, Slot, bool, bool]] = []
     held: list[str] = []
     owner = stack[0]
@@ -108,14 +113,14 @@ def parse(html: str | None) -> tuple[Slot, list[tuple[str, Slot, bool, bool]]]:
         held = []
         if text:
             owner[1].texts.append(text)
-            blocks.append((text, *owner[1:]))
+            blocks.append((text, owner[1], owner[2] or owner[3], owner[4]))
 
     def text_in(text: str) -> None:
         nonlocal owner
         if not text:
             return
         # a part of other standing (an advert inside a paragraph) is a block of its own
-        if stack[-1][2] != owner[2]:
+        if stack[-1][2:4] != owner[2:4]:
             flush()
         if not held:
             owner = stack[-1]
@@ -167,9 +172,12 @@ def parse(html: str | None) -> tuple[Slot, list[tuple[str, Slot, bool, bool]]]:
                     break
         names = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[3])} if "=" in m[3] else {}
         label = f"{tag}.{re.sub('[0-9]+', '', names['class'])}" if names.get("class") else tag
-        _, parent, dropped, inside = stack[-1]
+        _, parent, by_tag, named, inside = stack[-1]
         slot = parent.child(label)
-        dropped = dropped or tag in NEVER or (tag == "header" and not inside) or any(BOILERPLATE.search(v) for v in names.values())
+        # names are a guess: a main element inside a named one is content all the same
+        main = tag == "main" or names.get("role") == "main"
+        by_name = not main and (named or tag not in UNNAMED and any(BOILERPLATE.search(v) for v in names.values()))
+        by_tag = by_tag or tag in NEVER or (tag == "header" and not inside)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             if tag in ("title", "textarea"):
@@ -178,10 +186,10 @@ def parse(html: str | None) -> tuple[Slot, list[tuple[str, Slot, bool, bool]]]:
             continue
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in NEVER:
             continue
-        inside = inside or tag in ("article", "main") or names.get("role") == "main"
-        entry = (tag, slot, dropped, inside)
+        inside = inside or main or tag == "article"
+        entry = (tag, slot, by_tag, by_name, inside)
         if len(stack) > DEPTH:
-            entry = (tag, stack[-1][1], dropped, inside)
+            entry = (tag, stack[-1][1], by_tag, by_name, inside)
         stack.append(entry)
     flush()
     return root, blocks
