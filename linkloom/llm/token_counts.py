@@ -12,8 +12,8 @@ has seen, up to a fixed number of them, and asks the library for the rest. A
 vocabulary that has such an entry is encoded whole.
 
 How it runs: digests are computed on the JVM side. Counting copies, finding misses and
-joining back move digests only; texts are shuffled once, to the misses that
-represent them. A content that a third of all documents share is one miss; the
+joining back move digests only; texts are shuffled once, each content once per task,
+to the misses that they are. A content that a third of all documents share is one miss; the
 join back reads stored tables, so adaptive execution may split it.
 
 The cache is a folder of Parquet files in storage that all executors share. Each run
@@ -119,13 +119,10 @@ def count_tokens(
     )
     narrow = cut_lineage(given.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")))
     known = read_cache(spark, cache_dir, tokenizer)
-    # one document stands for each content that is not stored yet
-    misses = cut_lineage(narrow.groupBy("content").agg(F.min("doc_id").alias("first")).join(known, "content", "left_anti"))
-    wanted = given.hint("shuffle_hash").join(
-        misses.select(F.col("content").alias("c"), "first").hint("shuffle_hash"),
-        (F.col("content") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("first")),
-        "left_semi",
-    )
+    misses = cut_lineage(narrow.select("content").distinct().join(known, "content", "left_anti"))
+    # repeats of a content become one row in each task, and one in all, before anything is encoded
+    distinct = given.groupBy("content").agg(F.first("text").alias("text"))
+    wanted = distinct.join(misses, "content", "left_semi")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
