@@ -44,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from linkloom.llm import textkit
 from linkloom.llm.common import ready_for_python
@@ -294,6 +295,7 @@ def contaminated(
     given = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
     kind, item_kind = given.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, edits long, last_word long"
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     parts = [spark.createDataFrame([], schema)]
     for index in _item_blocks(benchmark, item_col, item_text_col, block):
         carried = spark.sparkContext.broadcast(index)
@@ -308,7 +310,7 @@ def contaminated(
                 at, items, edits, last = zip(*rows, strict=True) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(items, pa.int64() if item_kind == "bigint" else None),
+                        batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(items, item_type),
                         pa.array(edits, pa.int64()), pa.array(last, pa.int64()),
                     ],
                     ["doc_id", "item_id", "edits", "last_word"],

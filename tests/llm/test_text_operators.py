@@ -312,3 +312,74 @@ def test_pipeline_keeps_texts_with_an_unsure_language(spark, docs, monkeypatch):
     monkeypatch.setattr(language_id, "predict", lambda d, model: d.withColumn("lang_pred", answer).withColumn("score", F.lit(0.25)))
     kept = corpus_pipeline.identify_language(spark, docs, "")
     assert kept.count() == docs.where("doc_id % 2 = 0").count() > 0
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar single", "home search-results", "widget", "page sidebar-right"])
+def test_names_of_the_page_itself_say_nothing(name):
+    page = f"<html class='{name}'><body class='{name}'><div class='search-page'><main class='{name}'><p id='related'>story</p></main></div></body></html>"
+    assert html_extraction.main_text(page, None, None) == "story"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "comment-list", "cookie-banner x", "ad", "newsletter_box"])
+def test_named_boxes_are_dropped(name):
+    page = f"<body><div class='{name}'><p>box</p></div><div class='a {name}'>box</div><div id='{name.split()[0]}'>box</div><p>story</p></body>"
+    assert html_extraction.main_text(page, None, None) == "story"
+
+
+def test_a_main_element_in_a_named_one_is_content():
+    assert html_extraction.main_text("<div class='widget'>box<main><p>story</p></main>box</div>", None, None) == "story"
+
+
+def test_pages_empty_repeated_and_very_long(spark):
+    long = "<body>" + "".join(f"<p>part {i}</p>" for i in range(20_000)) + "</body>"
+    rows = [(1, "http://h/1", long, 1), (2, None, None, 2), (3, "http://h/3", "", 3), (4, "http://h/1", "<p>a", 4), (4, "http://h/1", "<p>a", 4)]
+    d = spark.createDataFrame(rows, "page_id int, url string, html string, slots long")
+    got = sorted((r["page_id"], r["n_chars"], r["text"][:6]) for r in html_extraction.extract_text(d).collect())
+    assert got == [(1, sum(len(f"part {i}") + 1 for i in range(20_000)) - 1, "part 0"), (2, 0, ""), (3, 0, ""), (4, 1, "a"), (4, 1, "a")]
+    assert html_extraction.extract_text(d.where("false")).count() == 0
+
+
+def test_rings_of_parents_are_left_out(spark):
+    ring = [("r", 1, 2), ("r", 2, 3), ("r", 3, 1), ("r", 4, 3), ("r", 5, 5)]
+    chain = [("c", 10 + i, 9 + i if i else None) for i in range(11)]
+    d = spark.createDataFrame(ring + chain, "tree string, message long, parent long").withColumn("score", F.lit(1.0))
+    got = [r["message"] for r in chat_format.best_paths(d).orderBy("place").collect()]
+    assert got == list(range(10, 21))
+    assert chat_format.best_paths(d.where("tree = 'r'")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_ids_of_any_type(spark, kind):
+    turns = spark.createDataFrame([(1, 0, "user", "a" * 300_000), (1, 1, "assistant", None)], "conv_id long, turn int, role string, text string")
+    turns = turns.withColumn("conv_id", F.col("conv_id").cast(kind))
+    back = chat_format.read_back(chat_format.format_conversations(turns, scratch_path(spark, "chat")))
+    want = hashlib.sha256(f"user\n{'a' * 300_000}\nassistant\n\n".encode()).hexdigest()
+    assert [(str(r["tree"]), r["n_turns"], r["turns_sha256"], r["loss_chars"]) for r in back.collect()] == [("1", 2, want, 0)]
+    assert chat_format.read_back(chat_format.format_conversations(turns.where("false"), scratch_path(spark, "chat"))).count() == 0
+    texts = spark.createDataFrame([(3, "one two three four five six seven eight nine"), (4, "other")], "doc_id long, text string")
+    texts = texts.withColumn("doc_id", F.col("doc_id").cast(kind))
+    found = decontamination.contaminated(texts, texts.where("text <> 'other'").withColumnRenamed("doc_id", "item_id"))
+    assert [(str(r["doc_id"]), str(r["item_id"])) for r in found.select("doc_id", "item_id").collect()] == [("3", "3")]
+    written = binary_output.round_trip(texts, queries.tokenizer_path("byte_bpe_50k.json"))
+    assert written.schema["doc_id"].dataType == texts.schema["doc_id"].dataType
+    assert sorted(str(r["doc_id"]) for r in written.collect()) == ["3", "4"]
+
+
+def test_repeated_contents_are_encoded_once(spark):
+    cache, model = scratch_path(spark, "cache"), queries.tokenizer_path("piece_bpe_32k.model")
+    d = spark.range(100).select(F.lit(7).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 2).alias("text"))
+    counted = token_counts.count_tokens(d, cache, model)
+    library = token_counts.PieceCounter(model).library
+    assert {(r["n_bytes"], r["n_tokens"]) for r in counted.collect()} == {(6, len(library.encode(f"text {i}"))) for i in (0, 1)}
+    assert counted.count() == 100 and spark.read.parquet(cache).count() == 2
+
+
+def test_token_counts_are_those_of_the_library(spark, docs):
+    model = queries.tokenizer_path("piece_bpe_32k.model")
+    library = token_counts.PieceCounter(model).library
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    got = token_counts.count_tokens(docs, scratch_path(spark, "cache"), model).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        n = len(library.encode(texts[r["doc_id"]]))
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 4096)
