@@ -71,22 +71,24 @@ def pack(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     codes = codes.astype(np.uint64)
-    place = np.arange(n, dtype=np.int32)
-    width = np.frexp(codes.astype(np.float64))[1]
-    selector = np.full(n, len(FIELDS) - 1, dtype=np.int32)
+    width = np.frexp(codes.astype(np.float64))[1].astype(np.int8)
+    selector = np.full(n, len(FIELDS) - 1, dtype=np.int8)
     # from wide fields to narrow: where the next codes fit, the narrower fields win
     for s in range(len(FIELDS) - 2, -1, -1):
-        too_wide = np.where(width > BITS[s], place, np.int32(n))
-        free = np.minimum.accumulate(too_wide[::-1])[::-1] - place
-        fits = (free >= FIELDS[s]) | (free == n - place)
+        # codes too wide before each place; beyond the end there are none
+        wide = np.zeros(n + FIELDS[s] + 1, np.int32)
+        np.cumsum(width > BITS[s], out=wide[1 : n + 1])
+        wide[n + 1 :] = wide[n]
+        fits = wide[FIELDS[s] : FIELDS[s] + n] == wide[:n]
         if not fits.any():
             # narrower fields hold more codes, so they cannot fit either
             break
         selector[fits] = s
     step = np.minimum(np.array(FIELDS)[selector], n - np.arange(n)).tolist()
     starts, at = [], 0
+    add = starts.append
     while at < n:
-        starts.append(at)
+        add(at)
         at += step[at]
     begin = np.array(starts)
     chosen = selector[begin]
@@ -96,9 +98,8 @@ def pack(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if BITS[s]:
             mine = np.flatnonzero(chosen == s)
             fields = np.arange(FIELDS[s])
+            # fields beyond the last code of the block are zeros of the padding
             values = padded[begin[mine][:, None] + fields]
-            # fields beyond the last code of the block stay empty
-            values[begin[mine][:, None] + fields >= n] = 0
             words[mine] |= np.bitwise_or.reduce(values << (fields * BITS[s]).astype(np.uint64), axis=1)
     return words, begin
 
@@ -271,8 +272,8 @@ def write_ids(
             encoder = encoder or once(("bytes", tokenizer_file), lambda: ByteEncoder(tokenizer_file))
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "h", "range")]
             id_type = batch.column("doc_id").type
-            for k in range(0, len(batch), 256):
-                texts = batch.column("text").slice(k, 256).to_pylist()
+            for k in range(0, len(batch), 512):
+                texts = batch.column("text").slice(k, 512).to_pylist()
                 for j, ids in enumerate(encoder.encode(texts, end_id)):
                     held.append((*(c[k + j] for c in columns), ids))
                     size += len(ids)
