@@ -231,8 +231,7 @@ class ByteEncoder:
         # the first part of a text has no blank before it
         first = [names[k] for k in index[bounds[:-1]]]
         index[bounds[:-1]] = np.arange(len(names), len(names) + len(first))
-        get = self.seen.group(names).__getitem__
-        values = [*map(get, names), *self._apart(first)]
+        values = [*self.seen.each(names), *self._apart(first)]
         size = np.fromiter(map(len, values), np.int64, len(values)) // 4
         start = np.cumsum(size) - size
         each = size[index]

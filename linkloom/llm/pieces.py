@@ -26,6 +26,18 @@ class Remembered:
         self.extra = new if len(self.values) > self.most else []
         return self.values
 
+    def each(self, pieces: list[str]) -> list:
+        """The values of these pieces, all different, in order."""
+        found = list(map(self.values.get, pieces))
+        places = [k for k, value in enumerate(found) if value is None]
+        new = [pieces[k] for k in places]
+        made = list(self.compute(new))
+        for k, value in zip(places, made, strict=True):
+            found[k] = value
+        if len(self.values) < self.most:
+            self.values.update(zip(new, made, strict=True))
+        return found
+
 
 _kept: dict = {}
 
