@@ -233,6 +233,30 @@ def test_crawl_against_breadth_first_search(spark, kind):
         assert {tuple(r) for r in found.collect()} == edges
 
 
+@pytest.mark.parametrize("numbered", [1 << 16, 100])
+def test_crawl_keeps_seeds_of_one_host_as_bits(spark, monkeypatch, numbered):
+    """1,000 seeds of a host, and one of another: sets of them walk together, rows come out per seed."""
+    monkeypatch.setattr(C, "_NUMBERED", numbered)
+    graph = {f"http://h/{i}": [f"http://h/{i * 7 % 1000}", f"http://h/{i // 30}", "http://g/0"] for i in range(1000)}
+    graph["http://g/0"] = ["http://h/1", "http://g/1"]
+    graph["http://g/1"] = []
+    pages = frame(spark, [(u, "".join(f"<a href='{t}'>" for t in ts)) for u, ts in graph.items()], "url string, html string")
+    seeds = [u for u in graph if u != "http://g/1"]
+    result = C.crawl(pages, words(spark, seeds * 2, "seed"), 5, profile="core")
+    same = lambda s, t: s.split("/")[2] == t.split("/")[2]
+    want = {s: walk(graph, s, 5, same) for s in seeds}
+    got = [tuple(r) for r in result.visited.collect()]
+    assert sorted(got) == sorted((s, u, d) for s, found in want.items() for u, d in found.items())
+    lines = result.links.where("source = 'href'").select("seed", "url", "where_url", "depth")
+    assert {tuple(r) for r in lines.collect()} == {(s, t, u, d) for s, u, d in got for t in graph[u]}
+    # a seed's own page is a row for each seed; pages that many reach are not
+    later = [r for r in result.reached.collect() if r["depth"] > 1]
+    assert sum(bin(r["bits"] & (1 << 64) - 1).count("1") for r in later) == sum(len(found) - 1 for found in want.values())
+    shared = [r for r in later if r["url"] in {f"http://h/{i}" for i in range(2)}]
+    reached_by = sum(1 for s, u, d in got if d > 1 and u in {f"http://h/{i}" for i in range(2)})
+    assert 5 * len(shared) <= reached_by
+
+
 def test_resume_records_seeds_without_pages(spark):
     pages = frame(spark, [("http://h/1", "<a href=/2>"), ("http://h/2", "")], "url string, html string")
     seeds = words(spark, ["http://h/1", "http://h/2", "http://h/gone"], "seed")
