@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import textkit
@@ -183,20 +183,28 @@ def fit(x: np.ndarray, labels: list[str], families: dict = FAMILIES) -> Language
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Fit on at most ``per_language`` rows of each language, those with the least hash of the id."""
+    """Fit on at most ``per_language`` texts of each language, those with the least hash of the id.
+
+    Rows of one id and text are one text, whatever their number. What comes to the driver is
+    a count per language and ``per_language`` vectors of each, as the model has weights of each.
+    """
     ready_for_python(docs.sparkSession)
     d = docs.select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(7), F.col(id_col)).alias("order")
+        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(7), F.col(id_col)).alias("order"),
+        F.xxhash64(F.lit(8), F.col(text_col)).alias("same"),
     ).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.approx_count_distinct("order", 0.02).alias("n")).collect()}
     if not counts:
         return LanguageModel([], np.empty((0, 0)), np.empty(0), [])
-    # hashes below the bound hold about twice what is needed, so few rows are sorted
+    # hashes below the bound hold about twice what is needed, so few rows are sorted; ids are counted, not rows
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2.0 * per_language + 50) / n))).otherwise(share)
     near = d.where(F.shiftrightunsigned("order", 11) / F.lit(float(1 << 53)) <= share)
-    vectors = near.select(F.lower("text").alias("text"), "lang", "order").mapInArrow(_vectors, "lang string, order long, vector binary")
+    once = near.groupBy("lang", "order", "same").agg(F.first("text").alias("text"))
+    place_of = F.row_number().over(Window.partitionBy("lang").orderBy("order", "same"))
+    chosen = once.withColumn("at", place_of).where(F.col("at") <= per_language)
+    vectors = chosen.select(F.lower("text").alias("text"), "lang", "order").mapInArrow(_vectors, "lang string, order long, vector binary")
     # vectors lie in one growing block, which goes back to the system whole
     data, place = bytearray(), {}
     for k, r in enumerate(vectors.toLocalIterator()):
