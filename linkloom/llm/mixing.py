@@ -37,6 +37,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
 SEED = 20240607
+#: Equal documents whose rows one task makes at a time.
+RUN = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -163,7 +165,13 @@ def mix(
     )
     rounded = placed.join(pivotal_round(fractional, "source", seed), "unit", "left")
     total = F.col("whole") + F.coalesce("up", F.lit(0).cast("long"))
-    each = rounded.withColumn("total", total).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    counted = cut_lineage(rounded.select("doc_id", "source", "size", "source_size", "target", "n", total.alias("total")))
+    # rows of many equal documents are made in runs, each of which may go to another task
+    starts = F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(RUN).cast("long"))
+    run = F.sequence(F.col("start"), F.least(F.col("n"), F.col("start") + (RUN - 1)))
+    many = counted.where(F.col("n") > RUN).withColumn("start", F.explode(starts)).repartition("doc_id", "source", "size", "start")
+    few = counted.where(F.col("n") <= RUN).withColumn("start", F.lit(1).cast("long"))
+    each = few.unionByName(many).withColumn("i", F.explode(run))
     copies = F.floor(F.col("total") / F.col("n")).cast("long") + (F.col("i") <= F.col("total") % F.col("n")).cast("long")
     return each.withColumn("copies", copies).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
@@ -184,18 +192,19 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_all", "_n")
     )
     taken = cut_lineage(taken)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    sized = docs.withColumn("_size", F.size(words(F.col(text_col))).cast("long"))
+    # a row is carried whole, so that no name of its columns can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    sized = docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.size(words(F.col(text_col))).cast("long").alias("_size"))
     joined = sized.join(
         taken,
-        (F.col("_size") == F.col("_z")) & F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")),
+        (F.col("_size") == F.col("_z")) & F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")),
     )
-    alone = joined.where("_n = 1").select(*columns, F.col("_all").alias("_copies"))
+    alone = joined.where("_n = 1").select("row", F.col("_all").alias("_copies"))
     if taken.where("_n > 1").isEmpty():
         dealt = alone
     else:
-        order = Window.partitionBy("_i", "_s", "_z").orderBy(F.xxhash64(*columns))
+        order = Window.partitionBy("_i", "_s", "_z").orderBy(F.xxhash64("row"))
         each = F.floor(F.col("_all") / F.col("_n")).cast("long") + (F.col("_place") <= F.col("_all") % F.col("_n")).cast("long")
         repeated = joined.where("_n > 1").withColumn("_place", F.row_number().over(order)).withColumn("_copies", each)
-        dealt = alone.unionByName(repeated.where("_copies > 0").select(*columns, "_copies"))
-    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*columns)
+        dealt = alone.unionByName(repeated.where("_copies > 0").select("row", "_copies"))
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*")

@@ -83,6 +83,37 @@ def test_language_held_out(docs):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_training_takes_each_text_once(spark, monkeypatch):
+    """A row repeated thousands of times is one text, and no language gives more than the bound."""
+    rows = [(7, "the same words again", "en")] * 3000 + [(i, f"words of number {i}", "en") for i in range(100, 160)] + [(i, f"wort nummer {i}", "de") for i in range(5)]
+    got = []
+    monkeypatch.setattr(language_id, "fit", lambda x, labels: got.append((len(x), Counter(labels))))
+    language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), per_language=40)
+    assert got == [(45, Counter(en=40, de=5))]
+
+
+def test_mix_of_many_equal_rows(spark):
+    """More equal rows than a run holds: each is a row of the result, and they share their copies."""
+    n = 2 * mixing.RUN + 5
+    d = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("two words").alias("text"), F.lit("a").alias("source"))
+    d = d.unionByName(spark.createDataFrame([(1, "other words here", "a"), (2, "x", "b")], d.schema))
+    rows = mixing.mix(d).collect()
+    assert len(rows) == n + 2
+    equal = [r for r in rows if r["doc_id"] is None]
+    assert len(equal) == n and {r["taken"] for r in equal} <= {2, 4}
+    assert abs(sum(r["taken"] for r in rows if r["source"] == "a") - next(r["target"] for r in equal)) <= 3
+
+
+def test_mixed_documents_with_clashing_names(spark):
+    names = ["_size", "_n", "_i", "_s", "_z", "_all", "_copies", "_copy", "_place", "row", "_id", "_source"]
+    rows = [(k % 3, "one two three", "s", *[f"{c}{k}" for c in names]) for k in range(9)]
+    d = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    got = mixing.mixed_documents(d)
+    assert got.columns == d.columns
+    copies = Counter(map(tuple, got.collect()))
+    assert set(copies) <= set(rows) and set(copies.values()) <= {1, 2} and abs(3 * sum(copies.values()) - 3 * 1.5 * 9) <= 3
+
+
 def test_mix(docs):
     rows = mixing.mix(docs).collect()
     assert Counter(map(tuple, rows)) == Counter(map(tuple, mixing.mix(docs.repartition(3)).collect()))
