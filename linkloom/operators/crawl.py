@@ -88,16 +88,18 @@ def crawl(
         reached = reached.unionByName(level)
 
     lined = _union(parsed) if parsed else _parse(pages.where(F.lit(False)), profile, options)
-    found = reached.select("seeds", "bits", F.col("url").alias("where_url"), "depth").join(lined, "where_url")
-    if inside:
-        found = found.where(~F.col("inside") | inside_path(F.col("url"), F.col("seeds.path")))
     if keywords:
-        found = found.where(keyword_predicate(F.col("raw"), keywords))
-    # rows differ by raw form and by rule, which the result does not show
-    links = found.select("seeds", "bits", "source", "url", "where_url", "depth").distinct()
+        lined = lined.where(keyword_predicate(F.col("raw"), keywords))
+    # rows differ by raw form and by rule, which the result does not show; a link is inside only if each of them is.
+    # Pages meet rows per seed last, so a result row is made once and never shuffled.
+    lined = lined.groupBy("where_url", "source", "url").agg(F.bool_and("inside").alias("inside"))
+    walked = _apart(reached, members).select("seed", "seeds.path", F.col("url").alias("where_url"), "depth")
+    found = walked.join(lined, "where_url")
+    if inside:
+        found = found.where(~F.col("inside") | inside_path(F.col("url"), F.col("path")))
     return CrawlResult(
         _apart(reached, members).select("seed", "url", "depth"),
-        _apart(links, members).select("seed", "source", "url", "where_url", "depth"),
+        found.select("seed", "source", "url", "where_url", "depth"),
         reached,
     )
 
