@@ -390,3 +390,34 @@ def test_crawl_of_nothing(spark):
     for p, s in ((pages, []), (pages, ["http://g/"]), (pages.where("false"), ["http://h/1"])):
         result = C.crawl(p, words(spark, s, "seed"), 3, profile="core")
         assert result.visited.count() == 0 and result.links.count() == 0
+
+
+def test_keyword_runs_grow_with_the_list(spark):
+    needles = ["".join("ab"[i >> k & 1] for k in range(10)) for i in range(1024)]
+    index = K.gram_index(words(spark, needles, "keyword"), "keyword").collect()
+    listed = {}
+    for r in index:
+        listed.setdefault(r["_gram"], set()).add(r["keyword"])
+    assert all(g in n for g, having in listed.items() for n in having)
+    assert sum(map(len, listed.values())) == 1024 and max(map(len, listed.values())) <= K.LISTED
+    texts = ["".join(random.Random(i).choice("ab") for _ in range(14)) for i in range(20)]
+    got = K.keyword_matches(words(spark, texts, "raw"), words(spark, needles, "keyword")).collect()
+    assert sorted((r["raw"], r["keyword"]) for r in got) == sorted((t, n) for t in texts for n in needles if n in t)
+
+
+def test_links_of_a_crawl_are_not_shuffled_per_seed(spark):
+    html = '<a href="/2">a</a><a href="/2">b</a><img src="/2"><a href="/9">c</a>'
+    pages = frame(spark, [("http://h/1", html), ("http://h/2", html)], "url string, html string")
+    result = C.crawl(pages, words(spark, ["http://h/1", "http://h/2"], "seed"), depth=2, profile="core", inside=True)
+    assert sorted(tuple(r) for r in result.links.select("seed", "source", "url", "depth").collect()) == [
+        ("http://h/1", "embedded", "http://h/2", 1), ("http://h/2", "embedded", "http://h/2", 1), ("http://h/2", "href", "http://h/2", 1)
+    ]
+    plan = result.links._jdf.queryExecution().optimizedPlan().toString()
+    assert "bits" not in "".join(line for line in plan.splitlines() if "Aggregate" in line)
+
+
+def test_a_longer_table_is_spread_over_more_tasks(spark, tmp_path, monkeypatch):
+    spark.range(0, 2000, 1, 1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(readers, "SPREAD_ROWS", 100)
+    rows = readers.spread(spark.read.parquet(str(tmp_path / "t")))
+    assert rows.rdd.getNumPartitions() == 20 and rows.distinct().count() == 2000
