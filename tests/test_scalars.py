@@ -161,3 +161,20 @@ def test_all_named_references(spark):
     names = ["&check;", "&NotEqualTilde;", "&starf;", "&amp;", "&eacute", "&nosuch;"]
     got = column(spark, names, decode_entities)
     assert got == [html.unescape(n) for n in names]
+
+
+def test_plain_links_resolve_as_all_do(spark):
+    links = ["/a?b=1", "http://h/x", "https://h", "//h/x", "/./a", "/a/../b", "/a#f", "/%zz", "/a b", "/é", "http://h/..", "x", "", "/", "HTTP://h/"]
+    base = urls.Base.of(F.lit("http://b/c/d"))
+    found = column(spark, links, lambda v: F.when(urls.plain(v), urls.resolve_plain(v, base)))
+    assert [v for v, f in zip(links, found) if f] == ["/a?b=1", "http://h/x", "https://h", "/"]
+    whole = column(spark, links, lambda v: urls.resolve(v, base))
+    assert all(f is None or f == w for f, w in zip(found, whole))
+
+
+def test_urls_in_text_are_found_as_in_the_whole_text(spark):
+    rng = random.Random(3)
+    parts = ["http://", "ftp://", "xhttps://", "://", "h", "a.b", "/", "?q", "#f", " ", "\n", "'", '"', "u:p@", ":80", "é", "[::1]"]
+    texts = ["".join(rng.choice(parts) for _ in range(30)) for _ in range(300)]
+    whole = lambda v: F.array_distinct(F.regexp_extract_all(v, F.lit(fixed.URL_PATTERN), F.lit(0)))
+    assert column(spark, texts, text.urls_in_text) == column(spark, texts, whole)
