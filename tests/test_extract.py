@@ -299,3 +299,16 @@ def test_element_text_of_a_large_page(spark):
     html = "<div>" * 3 + "<p data-x=1>http://u/1 <b>x</b></p>" * 20_000
     got = links(extract_links(pages(spark, html), "core", text_scope="element", data_labels=True))
     assert ("custom_REGEX", "http://u/1") in got and len(got) == 2
+
+
+def test_links_are_tested_once_and_pages_without_a_url_keep_theirs(spark):
+    from linkloom.functions import urls as U
+
+    pages = spark.createDataFrame(
+        [(None, '<a href="/x">1</a>'), ("http://h/d/", '<a href="/y&amp;z">1</a><a HREF="%">2</a><p>&#104;ttp://n/1</p>')],
+        "url string, html string",
+    )
+    links = extract_links(pages, "core", distinct=False)
+    assert {(r.source, r.url) for r in links.collect()} == {("href", None), ("href", "http://h/y&z"), ("custom_REGEX", "http://n/1")}
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(U._PLAIN) == 1
