@@ -83,3 +83,12 @@ def test_bloom_unique_across_batches_and_restarts(spark, tmp_path):
     assert run("b", "c", *[f"x{i}" for i in range(300)]) == sorted(["a", "b", "c", *[f"x{i}" for i in range(300)]])
     assert run("a", "x7") == run("c") and len(list(Path(filters).glob("version-*"))) == 2
     assert spark.read.parquet(f"{filters}/version-3").select("slice").distinct().count() > 1
+
+
+def test_arriving_pages_come_in_few_files(spark):
+    from linkloom.plans.catalog import _page_source
+
+    pages = spark.range(400).selectExpr("concat('http://h/', id) AS url", "'<p>' AS html").repartition(60)
+    arrived = spark.read.parquet(_page_source(spark, pages))
+    assert len(arrived.inputFiles()) == 6
+    assert sorted(r.url for r in arrived.collect()) == sorted(r.url for r in pages.collect())
