@@ -195,8 +195,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a row is carried whole, so that no name of its columns can clash
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     sized = docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.size(words(F.col(text_col))).cast("long").alias("_size"))
+    # the side with one short row a key is hashed, so that rows with whole texts are not sorted
     joined = sized.join(
-        taken,
+        taken.hint("shuffle_hash"),
         (F.col("_size") == F.col("_z")) & F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")),
     )
     alone = joined.where("_n = 1").select("row", F.col("_all").alias("_copies"))
