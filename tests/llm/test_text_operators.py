@@ -263,6 +263,35 @@ def test_every_component_keeps_a_document(spark):
     assert kept in either
 
 
+def test_ngrams_are_sent_where_both_shorter_ones_are_kept(spark, monkeypatch):
+    alone = [" ".join(f"w{k}x{i}" for i in range(200)) for k in range(4)]
+    rows = list(enumerate([*alone, "a b c d", "a b c e", "b c d a b c f", None, "a b g b c"]))
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    sent, exchanged = set(), lm_scoring._exchanged
+
+    def watched(asked, *rest):
+        for r in asked.where("level = 3").collect():
+            sent.update(lm_scoring._unpack(r["keys"]).tolist())
+        return exchanged(asked, *rest)
+
+    monkeypatch.setattr(lm_scoring, "_exchanged", watched)
+    lm_scoring.score_texts(given, F.lit(True)).collect()
+    # pairs that occur twice: a b, b c, c d; a word at a text's end and the end token do not
+    assert len(sent) == 2
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_scores_do_not_depend_on_slices(spark, order):
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(6, size=rng.integers(0, 30))), k % 3 > 0) for k in range(60)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    one, many = (
+        {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(d, F.col("learn"), order=order).collect()}
+        for d in (given.coalesce(1), given.repartition(7, "doc_id"))
+    )
+    assert one == pytest.approx(many, rel=1e-12)
+
+
 def test_rare_ngrams_stay_in_a_large_corpus(spark):
     texts = ["same " * 2_200_000, "one rare phrase", "and one rare phrase here", "here one rare end", "", "one rare phrase twice", "same same one rare"]
     rows = [(k, t, k < 5) for k, t in enumerate(texts)]
