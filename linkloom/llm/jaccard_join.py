@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import textkit
 from linkloom.llm.common import cut_lineage, ready_for_python
-from linkloom.llm.components import components
+from linkloom.llm.components import components, joined
 
 SHINGLE = 5
 PERCENT = 80
@@ -289,8 +289,13 @@ def jaccard_components(
     open_ = _between_groups(shared.drop("least"), groups)
     for round_ in range(ROUNDS):
         few = _hopeful(_some_pairs(open_, round_, percent), classes, percent)
-        near = cut_lineage(near.unionByName(_verified(few, classes, docs, id_col, text_col, n, percent)))
-        groups = cut_lineage(components(near))
+        if few.isEmpty():
+            continue
+        found = cut_lineage(_verified(few, classes, docs, id_col, text_col, n, percent))
+        if found.isEmpty():
+            continue
+        near = near.unionByName(found)
+        groups = joined(groups, found)
         open_ = _between_groups(open_.drop("root"), groups)
     sketched = open_.join(classes.select("row", *SKETCH), "row")
     other = sketched.select(
@@ -306,9 +311,11 @@ def jaccard_components(
         .where((F.col("common") >= F.least("ell", "ell2")) & _can_reach(percent))
         .select(F.col("row").alias("a"), F.col("row2").alias("b"))
     )
-    late = cut_lineage(_verified(cut_lineage(cross), classes, docs, id_col, text_col, n, percent))
-    links = near.unionByName(late)
-    roots = cut_lineage(components(links))
+    cross = cut_lineage(cross)
+    links, roots = near, groups
+    if not cross.isEmpty():
+        late = cut_lineage(_verified(cross, classes, docs, id_col, text_col, n, percent))
+        links, roots = near.unionByName(late), joined(groups, late)
     degree = links.select(F.col("a").alias("row")).unionByName(links.select(F.col("b").alias("row"))).groupBy("row").agg(F.count("*").alias("links"))
 
     of_digest = classes.select("digest", F.col("row").alias("class_row")).join(

@@ -19,6 +19,7 @@ are predicted like others. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -82,13 +83,12 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 120) -> tuple[np.ndarray, float]:
+def svm(x1: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 120) -> tuple[np.ndarray, float]:
     """Weights and offset of a linear machine with squared hinge loss, classes weighted alike.
 
-    Accelerated gradient steps; the step size comes from the largest singular value.
+    The last column of ``x1`` holds ones. Accelerated gradient steps; the step size comes from the largest singular value.
     """
-    n = len(x)
-    x1 = np.hstack([x, np.ones((n, 1), np.float32)])
+    n = len(x1)
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32) * n
     v = np.ones(x1.shape[1], np.float32)
     for _ in range(10):
@@ -156,7 +156,8 @@ def _trust(margin: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-3.0 * margin))
 
 
-def fit(x: np.ndarray, labels: list[str], families: dict = FAMILIES) -> LanguageModel:
+def fit(x1: np.ndarray, labels: list[str], families: dict = FAMILIES) -> LanguageModel:
+    """The model learned from rows of features, with a last column of ones, and their languages."""
     of = {language: name for name, members in families.items() for language in members}
     groups: dict[str, set] = {}
     for label in labels:
@@ -165,18 +166,22 @@ def fit(x: np.ndarray, labels: list[str], families: dict = FAMILIES) -> Language
     members = [sorted(groups[g]) for g in names]
     y = np.array(labels, object)
     mine = np.array([names.index(of.get(label, f"only {label}")) for label in labels], dtype=int)
-    machines = [svm(x, np.where(mine == f, 1, -1).astype(np.float32)) for f in range(len(names))] if len(names) > 1 else []
+    machines = [svm(x1, np.where(mine == f, 1, -1).astype(np.float32)) for f in range(len(names))] if len(names) > 1 else []
     pairs = []
+    # the rows of a pair are put into one block, whatever the number of pairs
+    sizes = sorted(Counter(labels).values())
+    block = np.empty((sum(sizes[-2:]) if len(labels) > max(sizes) else 0, x1.shape[1]), np.float32)
     for languages in members:
         own = []
         for i, j in combinations(range(len(languages)), 2):
-            use = (y == languages[i]) | (y == languages[j])
-            w, b = svm(x[use], np.where(y[use] == languages[i], 1, -1).astype(np.float32))
+            use = np.flatnonzero((y == languages[i]) | (y == languages[j]))
+            # "clip" writes straight into the block, without a copy between
+            w, b = svm(np.take(x1, use, axis=0, out=block[: len(use)], mode="clip"), np.where(y[use] == languages[i], 1, -1).astype(np.float32))
             own.append((i, j, w, b))
         pairs.append(own)
     return LanguageModel(
         members,
-        np.array([m[0] for m in machines], np.float32).reshape(len(machines), x.shape[1]),
+        np.array([m[0] for m in machines], np.float32).reshape(len(machines), x1.shape[1] - 1),
         np.array([m[1] for m in machines], np.float32),
         pairs,
     )
@@ -214,9 +219,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return LanguageModel([], np.empty((0, 0)), np.empty(0), [])
     rows = [(lang, k) for lang in sorted(place) for _, k in sorted(place[lang])[:per_language]]
     total = sum(map(len, place.values()))
-    x = np.frombuffer(data, np.float16).reshape(total, -1)[[k for _, k in rows]].astype(np.float32)
-    del data
-    return fit(x, [lang for lang, _ in rows])
+    given = np.frombuffer(data, np.float16).reshape(total, -1)
+    # the one copy that all machines learn from, with its ones
+    x1 = np.ones((len(rows), given.shape[1] + 1), np.float32)
+    for at, (_, k) in enumerate(rows):
+        x1[at, :-1] = given[k]
+    del data, given
+    return fit(x1, [lang for lang, _ in rows])
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
