@@ -92,3 +92,27 @@ def test_arriving_pages_come_in_few_files(spark):
     arrived = spark.read.parquet(_page_source(spark, pages))
     assert len(arrived.inputFiles()) == 6
     assert sorted(r.url for r in arrived.collect()) == sorted(r.url for r in pages.collect())
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _store(spark, tmp_path, name) -> str:
+    source, out, marks = (str(tmp_path / name / x) for x in ("in", "out", "marks"))
+    spark.createDataFrame([("a",), ("b",), ("a",)], "line string").write.parquet(source)
+    S.start_parquet(S.stream_unique(S.stream_pages(spark, source, "line string"), ["line"]), out, marks).awaitTermination()
+    assert sorted(r[0] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+    return (tmp_path / name / "marks" / "offsets" / "0").read_text()
+
+
+def test_state_is_on_disk_unless_the_session_names_a_store(spark, tmp_path):
+    named = spark.conf.get(PROVIDER)
+    try:
+        spark.conf.unset(PROVIDER)
+        before = dict(spark.conf.getAll)
+        assert "RocksDBStateStoreProvider" in _store(spark, tmp_path, "default")
+        assert dict(spark.conf.getAll) == before
+        spark.conf.set(PROVIDER, named.replace("RocksDBStateStoreProvider", "HDFSBackedStateStoreProvider"))
+        assert "HDFSBackedStateStoreProvider" in _store(spark, tmp_path, "named")
+    finally:
+        spark.conf.set(PROVIDER, named)
